@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.llm import percentiles, set_overlap, top_n
+from lakeseek.llm import encode, lookalike, percentiles, set_overlap, top_n
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +39,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(*[F.col(f"set_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("table_index", "key_col_index")])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different stored keys, and of base columns, of one table that look the same."""
+    fields = {"key": "overlap_table", "base_column": "aug_sketch"}
+    tables = {f: spark.read.parquet(f"{d}/{t}.parquet") for f, t in fields.items()}
+    rules = lookalike.fit(lookalike.code_point_counts([df.select(f) for f, df in tables.items()]))
+    out = None
+    for f, df in tables.items():
+        pairs = lookalike.equal_looking(df, "table_index", f, rules).select(F.lit(f).alias("field"), F.col("scope").alias("table_index"), "text_a", "text_b")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    return encode.with_ids(df, "doc_id", "text", f"{encode.VOCABULARIES}/byte_bpe_50k.tiktoken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p4_found, p6_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
