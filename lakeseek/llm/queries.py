@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.llm import encode, lookalike, percentiles, set_overlap, top_n
+from lakeseek.llm import encode, leakage, lookalike, percentiles, set_overlap, top_n
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,8 +57,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.with_ids(df, "doc_id", "text", f"{encode.VOCABULARIES}/byte_bpe_50k.tiktoken")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least 10 consecutive words of an evaluation item."""
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "eval_items"))
+    found = leakage.leaks(docs, "doc_id", "text", items, "item_id", "text", window=10)
+    return found.where("same_passage").select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p4_found, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p4_found, p6_found, p7_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
