@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.llm import encode, leakage, lookalike, percentiles, set_overlap, top_n
+from lakeseek.llm import encode, leakage, lookalike, percentiles, set_overlap, top_n, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +64,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("same_passage").select("doc_id", "item_id").distinct()
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut."""
+    judged = truncation.truncated(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "source")
+    return judged.where(F.col("how").isNotNull()).select(F.col("id").alias("doc_id"))
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return truncation.by_source(truncation.truncated(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p4_found, p6_found, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p4_found, p6_found, p7_ids, p8_found, p9_found, p9_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
