@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeseek.sources.shared import materialize
+
 
 def _new(cols: list[pa.Array]) -> np.ndarray:
     """Where a row differs from the row before it in any of ``cols``; the first row does."""
@@ -103,7 +105,8 @@ def most_frequent_value(df: DataFrame, key: str, value: str, others: list[str],
     kind = dict(rows.dtypes)
     ranged = rows.repartitionByRange(*rows.columns).sortWithinPartitions(*rows.columns)
     parts = ranged.mapInArrow(_of_partition, f"key {kind['key']}, value {kind['value']}, n bigint, total bigint")
-    # One pass over the rows serves both: an inside key is a row of its own, a boundary key adds up its partial states.
+    # Written once, as two branches read it: an inside key is a row of its own, a boundary key adds up its partial states.
+    parts = materialize(parts.where(F.col("total").isNull() | (F.col("total") >= least)), "runs")
     pieces = parts.where(F.col("total").isNull()).groupBy("key", "value").agg(F.sum("n").alias("n"))
     by_key = Window.partitionBy("key")
     place = F.row_number().over(by_key.orderBy(F.desc("n"), "value"))
