@@ -27,8 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The three keys with most distinct rows of every key column."""
     group = ["table_index", "key_col_index"]
     df = spark.read.parquet(f"{d}/overlap_table.parquet").where(F.col("key").isNotNull() & (F.col("key") != ""))
-    rows = df.groupBy(*group, "key", "row_index").agg(F.lit(1).alias("one"))
-    counts = rows.groupBy(*group, "key").agg(F.count(F.lit(1)).alias("n"))
+    counts = top_n.distinct_rows(df, [*group, "key"], "row_index")
     return top_n.top_n(counts, group, "n", ["key"], 3, sizes=df.select(*group)).select(*group, "key")
 
 

@@ -14,6 +14,8 @@ from lakeseek.operators.skew import HotGroups
 
 #: Rows from which a group counts as hot.
 HOT_ROWS = 20_000
+#: Row numbers that are counted together.
+BLOCK = 1 << 14
 
 
 def _ranked(df: DataFrame, group: list[str], order: list[Column], n: int, name: str) -> DataFrame:
@@ -21,6 +23,17 @@ def _ranked(df: DataFrame, group: list[str], order: list[Column], n: int, name:
     return df.withColumn(name, rank).where(F.col(name) <= n)
 
 
+def distinct_rows(df: DataFrame, keys: list[str], number: str, name: str = "n") -> DataFrame:
+    """``keys`` and how many different values of the integer column ``number`` they have (null is one).
+
+    Rows are shuffled once, on the keys and the block of the number: copies meet, a key of any number of rows is spread
+    over its blocks, and a block is one row from then on.
+    """
+    rows = df.select(*keys, number, F.floor(F.col(number) / BLOCK).alias("__block"))
+    blocks = rows.repartition(*keys, "__block").distinct().groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias(name))
+    return blocks.groupBy(*keys).agg(F.sum(name).alias(name))
+
+
 def top_n(df: DataFrame, group: list[str], score: str, tie: list[str], n: int, sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS, rank: str = "rank") -> DataFrame:
     """The ``n`` rows of every group with the highest ``score``, and their place in the column ``rank`` (from 1).
 
