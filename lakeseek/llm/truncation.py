@@ -34,7 +34,7 @@ _HASHTAGS = r"(?:^|\s)#[\p{L}\p{N}_]+$"
 # A last paragraph of two to four short lines that begin with a capital and have no sentence punctuation.
 _SIGNATURE = r"(?:^|\n[ \t]*\n)(?:\p{Lu}[^\n.!?:;]{0,40}\n){1,3}[\p{Lu}-][^\n.!?:;]{0,40}$"
 # "Title words: more words 2017", or a text that is nothing but a short line.
-_HEADING = r"(?:^|[\s|>])\p{Lu}[^\n.!?:|]{1,60}: [^\n.!?:,|]{1,60}\s\d{4}$|(?:^|\n)#{1,6} [^\n]{1,100}$|^\p{Lu}[^\n.!?,;]{1,50}$"
+_HEADING = r"(?:^|[\s|>])\p{Lu}[^\n.!?:|]{1,60}: [^\n.!?:,|]{1,60}\s\d{4}$|(?:^|\n)#{1,6} [^\n.!?]{1,100}$|^\p{Lu}[^\n.!?,;]{1,50}$"
 _SEPARATOR = r"(?m)^\|(?:[ :]*-+[ :]*\|)+[ \t]*$"
 
 
