@@ -1,15 +1,15 @@
-"""Query catalogue of the core: one query an operator, and its SQL where SQL can say it."""
+"""All queries of the core, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseek.operators import incremental, stitch
+from lakeseek.plans import queries_baselines, queries_discovery, queries_features
+from lakeseek.plans.catalogue import Query
 
-Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (queries_features.query, queries_discovery.query, queries_baselines.query)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,14 +41,17 @@ def p5_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p5_found, p5_gaps)}
+    out: dict[str, Query] = {f.__name__: f for f in (p3_found, p5_found, p5_gaps)}
+    for part in _PARTS:
+        out |= part.queries
+    return out
 
 
 _OK = "select distinct table_name, last_updated, n_rows from sync_ledger where run_id in (select run_id from sync_runs where status = 'ok')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return {k: v for part in _PARTS for k, v in part.sql.items()} | {
         "p3_found": """
             with counts as (select key, table_index, count(*) as n from (select distinct * from overlap_table where key <> '') group by all),
             ranked as (select *, sum(n) over (partition by key) as total, row_number() over (partition by key order by n desc, table_index) as r from counts)
