@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Longest key that is stored.
 KEY_LENGTH = 335
@@ -42,7 +43,7 @@ def normalize_text(s: str) -> str:
     return "".join(ch for ch in s if ch.isalnum())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type object, as text would need a session on import
 def normalize_key_exact(s: pd.Series) -> pd.Series:
     """``normalize_key`` with every compatibility character spelled out; goes through Python."""
     return s.map(lambda x: None if x is None else normalize_text(x))
