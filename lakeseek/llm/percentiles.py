@@ -96,8 +96,11 @@ def sketch(df: DataFrame, keys: list[str], values: str, row: list[str] | None =
     a row meets it in its leaf and one shuffle serves both deduplication and gathering.
 
     Null keys form a group; null, NaN, infinite and sentinel entries are left out; a group without any value gives no
-    state; an empty table gives no state. Other columns of ``df`` are ignored, whatever their names.
+    state; an empty table gives no state. Other columns of ``df`` are ignored, whatever their names; ``keys`` named like
+    columns of a state raise ``ValueError``.
     """
+    if taken := sorted(set(keys) & set(STATE)):
+        raise ValueError(f"keys can't be named like columns of a state: {taken}")
     ident = [c for c in (row or []) if c not in keys]
     rows = df.select(*keys, *ident, F.col(values).alias("__values"))
     hot = HotGroups(df.select(*keys), keys, rows_per_leaf)
