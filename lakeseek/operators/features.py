@@ -31,12 +31,12 @@ def numeric_features(df: DataFrame, key: str, columns: list[str], exact_median:
 
     ``exact_median`` keeps a key's distinct values in memory; False bounds that by a sketch, for keys of any size.
     """
-    rows = df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key"), *[F.col(c).cast("double").alias(c) for c in columns])
-    means = rows.agg(*[F.avg(c).alias(c) for c in columns])
-    filled = {c: F.coalesce(F.col(c), means.select(c).scalar()) for c in columns}
-    rows = rows.withColumns(filled)
-    fns = {"mean": F.avg, "median": lambda c: _median(F.col(c), exact_median), "max": F.max, "min": F.min}
-    return rows.groupBy("key").agg(*[fns[a](c).alias(f"{c}_{a}") for c in columns for a in AGGREGATES])
+    named = {f"v{i}": c for i, c in enumerate(columns)}  # a column may be called key
+    rows = df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key"), *[F.col(f"`{c}`").cast("double").alias(v) for v, c in named.items()])
+    means = rows.agg(*[F.avg(v).alias(v) for v in named])
+    rows = rows.withColumns({v: F.coalesce(F.col(v), means.select(v).scalar()) for v in named})
+    fns = {"mean": F.avg, "median": lambda v: _median(F.col(v), exact_median), "max": F.max, "min": F.min}
+    return rows.groupBy("key").agg(*[fns[a](v).alias(f"{c}_{a}") for v, c in named.items() for a in AGGREGATES])
 
 
 def text_features(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -46,9 +46,9 @@ def text_features(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     max is max(r) / N, nunique is the number of different counts. Nulls count as the column's mode (the smaller one).
     All columns go through one shuffle: they are stacked first.
     """
-    rows = df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key"), *[F.col(c).cast("string").alias(c) for c in columns])
-    stats = rows.agg(*[F.mode(c, True).alias(f"m{i}") for i, c in enumerate(columns)])
-    filled = [F.coalesce(F.col(c), stats.select(f"m{i}").scalar()) for i, c in enumerate(columns)]
+    rows = df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key"), *[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(columns)])
+    stats = rows.agg(*[F.mode(f"v{i}", True).alias(f"v{i}") for i in range(len(columns))])
+    filled = [F.coalesce(F.col(f"v{i}"), stats.select(f"v{i}").scalar()) for i in range(len(columns))]
     stacked = rows.select("key", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), v.alias("value")) for c, v in zip(columns, filled, strict=True)])).alias("s")).select("key", "s.*")
     counts = stacked.where(F.col("value").isNotNull()).groupBy("key", "col", "value").agg(F.count(F.lit(1)).alias("r"))
     distinct = counts.select("col", "value").distinct().groupBy("col").agg(F.count(F.lit(1)).alias("n"))
@@ -63,7 +63,7 @@ def top_values(df: DataFrame, column: str, m: int, min_coverage: float) -> list[
 
     If they cover all rows the most frequent is left out, as its share follows from the others.
     """
-    counts = df.groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(F.col(f"`{column}`").cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     top = counts.where(F.col("v").isNotNull()).orderBy(F.desc("n"), "v").limit(m).collect()
     total = df.count()
     covered = sum(r["n"] for r in top)
@@ -90,8 +90,8 @@ def category_shares(df: DataFrame, key: str, columns: list[str], m: int = 5, min
     for c in columns:
         values = top_values(rows, c, m, min_coverage)
         for name, v in zip(share_names(c, values), values, strict=True):
-            aggs.append(F.avg(F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0))).alias(name))
-    keyed = rows.withColumn("key", stored_key(F.col(key))).groupBy("key")
+            aggs.append(F.avg(F.coalesce((F.col(f"`{c}`").cast("string") == v).cast("double"), F.lit(0.0))).alias(name))
+    keyed = rows.groupBy(stored_key(F.col(key)).alias("key"))
     return keyed.agg(*aggs) if aggs else keyed.agg(F.count(F.lit(1)).alias("n")).drop("n")
 
 

@@ -19,41 +19,42 @@ SCHEMA = "first bigint, last bigint"
 
 
 def _segments(df: DataFrame, stream: list[str], takes: list[str]) -> DataFrame:
-    """Sweep over ``pos``: the stretches between marks with the running sum of each of ``takes``."""
-    marks = df.groupBy(*stream, "pos").agg(*[F.sum(c).alias(c) for c in takes])
-    w = Window.partitionBy(*stream).orderBy("pos")
+    """Sweep over the places: the stretches between marks with the running sum of each of ``takes``."""
+    marks = df.groupBy(*stream, "__pos").agg(*[F.sum(c).alias(c) for c in takes])
+    w = Window.partitionBy(*stream).orderBy("__pos")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks.select(*stream, F.col("pos").alias("first"), (F.lead("pos").over(w) - 1).alias("last"), *[F.sum(c).over(upto).alias(c) for c in takes])
+    return marks.select(*stream, F.col("__pos").alias("first"), (F.lead("__pos").over(w) - 1).alias("last"), *[F.sum(c).over(upto).alias(c) for c in takes])
 
 
 def _joined(df: DataFrame, stream: list[str]) -> DataFrame:
     """Adjacent disjoint intervals made one."""
     w = Window.partitionBy(*stream).orderBy("first")
     starts = F.when(F.lag("last").over(w) + 1 == F.col("first"), 0).otherwise(1)
-    island = F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("starts", starts).withColumn("island", island).groupBy(*stream, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
+    island = F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("__starts", starts).withColumn("__island", island).groupBy(*stream, "__island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__island")
 
 
 def _marks(df: DataFrame, stream: list[str], kind: str, kinds: list[str]) -> DataFrame:
     """An interval as the place where it begins (+1) and the one after its end (-1)."""
-    at = F.explode(F.array(F.struct(F.col("first").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("m")
-    return df.where(F.col("first") <= F.col("last")).select(*stream, at).select(*stream, "m.pos", *[(F.col("m.d") if k == kind else F.lit(0)).alias(k) for k in kinds])
+    at = F.explode(F.array(F.struct(F.col("first").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("pos"), F.lit(-1).alias("d"))))
+    return df.where(F.col("first") <= F.col("last")).select(*stream, at.alias("__m")).select(*stream, F.col("__m.pos").alias("__pos"), *[(F.col("__m.d") if k == kind else F.lit(0)).alias(k) for k in kinds])
 
 
 def merge_intervals(df: DataFrame, stream: list[str]) -> DataFrame:
     """Disjoint, non-adjacent intervals (``first``, ``last``) that cover the same numbers; overlaps and repeats are fine.
 
-    Intervals with null ends or ``first > last`` are empty. Null stream keys form a stream. Empty in, empty out.
+    Intervals with null ends or ``first > last`` are empty. Null stream keys form a stream. Empty in, empty out. Stream
+    columns may have any names but ``first`` and ``last``.
     """
-    covered = _segments(_marks(df, stream, "a", ["a"]), stream, ["a"]).where(F.col("a") > 0)
+    covered = _segments(_marks(df, stream, "__a", ["__a"]), stream, ["__a"]).where(F.col("__a") > 0)
     return _joined(covered.select(*stream, "first", "last"), stream)
 
 
 def subtract_intervals(available: DataFrame, taken: DataFrame, stream: list[str]) -> DataFrame:
     """Disjoint intervals of the numbers that ``available`` covers and ``taken`` doesn't; the same rules as above."""
-    kinds = ["a", "t"]
-    marks = _marks(available, stream, "a", kinds).unionByName(_marks(taken, stream, "t", kinds))
-    gaps = _segments(marks, stream, kinds).where((F.col("a") > 0) & (F.col("t") == 0))
+    kinds = ["__a", "__t"]
+    marks = _marks(available, stream, "__a", kinds).unionByName(_marks(taken, stream, "__t", kinds))
+    gaps = _segments(marks, stream, kinds).where((F.col("__a") > 0) & (F.col("__t") == 0))
     return _joined(gaps.select(*stream, "first", "last"), stream)
 
 
@@ -63,10 +64,10 @@ def to_intervals(df: DataFrame, stream: list[str], seq: str) -> DataFrame:
     Numbers are first joined into runs inside blocks, so that a stream with a great share of all rows is spread over
     many tasks, and only the runs of a stream come together.
     """
-    numbers = df.where(F.col(seq).isNotNull()).select(*stream, F.col(seq).cast("bigint").alias("seq")).distinct()
-    numbers = numbers.withColumn("block", F.floor(F.col("seq") / BLOCK))
-    island = F.col("seq") - F.row_number().over(Window.partitionBy(*stream, "block").orderBy("seq"))
-    runs = numbers.withColumn("island", island).groupBy(*stream, "block", "island").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    numbers = df.where(F.col(seq).isNotNull()).select(*stream, F.col(seq).cast("bigint").alias("__seq")).distinct()
+    numbers = numbers.withColumn("__block", F.floor(F.col("__seq") / BLOCK))
+    island = F.col("__seq") - F.row_number().over(Window.partitionBy(*stream, "__block").orderBy("__seq"))
+    runs = numbers.withColumn("__island", island).groupBy(*stream, "__block", "__island").agg(F.min("__seq").alias("first"), F.max("__seq").alias("last"))
     return _joined(runs.select(*stream, "first", "last"), stream)
 
 

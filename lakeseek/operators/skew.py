@@ -18,7 +18,9 @@ class HotGroups:
 
     def __init__(self, df: DataFrame, keys: list[str], threshold: int, max_listed: int = MAX_LISTED):
         self.keys = keys
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+        # Names of its own, as the rows it is joined with may descend from the same table.
+        named = [F.col(k).alias(f"__hot{i}") for i, k in enumerate(keys)]
+        sizes = df.groupBy(*named).agg(F.count(F.lit(1)).alias("__size"))
         self.table = sizes.where(F.col("__size") > threshold)
         listed = self.table.limit(max_listed + 1).collect()
         self.listed = len(listed) <= max_listed
@@ -28,8 +30,8 @@ class HotGroups:
 
     def _on(self, df: DataFrame):
         cond = F.lit(True)
-        for k in self.keys:
-            cond = cond & df[k].eqNullSafe(self.table[k])
+        for i, k in enumerate(self.keys):
+            cond = cond & df[k].eqNullSafe(self.table[f"__hot{i}"])
         return cond
 
     def hot(self, df: DataFrame) -> DataFrame:

@@ -21,13 +21,16 @@ from lakeseek.sources.shared import materialize
 
 
 def _new(cols: list[pa.Array]) -> np.ndarray:
-    """Where a row differs from the row before it in any of ``cols``; the first row does."""
+    """Where a row differs from the row before it in any of ``cols``, nulls being equal; the first row does."""
     n = len(cols[0])
     out = np.zeros(n, bool)
     out[:1] = True
     for c in cols:
         if n > 1:
-            out[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+            here, before = c.slice(1), c.slice(0, n - 1)
+            out[1:] |= pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+            if c.null_count:
+                out[1:] |= pc.xor(pc.is_null(here), pc.is_null(before)).to_numpy(zero_copy_only=False)
     return out
 
 
