@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeseek.functions.text import KEY_LENGTH, base_column, normalize_key
+from lakeseek.operators.sequence import number_rows
+from lakeseek.operators.skew import HotGroups
 
 AGGREGATES = ("mean", "median", "max", "min")
+#: Rows from which the median of a key isn't taken in one task.
+HOT_ROWS = 5_000_000
 # Parts of names of columns that hold prose or identifiers rather than join keys.
 PROSE = ["desc", "text", "comment", "remark", "note", "memo", "content", "message", "feedback", "log", "msg"]
 IDENTIFIERS = ["uuid", "guid", "key", "code", "ref", "hash", "token", "identifier", "unnamed"]
@@ -29,14 +33,33 @@ def _median(c: Column, exact: bool) -> Column:
 def numeric_features(df: DataFrame, key: str, columns: list[str], exact_median: bool = True) -> DataFrame:
     """``key`` and ``<column>_mean, _median, _max, _min``; nulls count as the column's mean over rows with a key.
 
-    ``exact_median`` keeps a key's distinct values in memory; False bounds that by a sketch, for keys of any size.
+    An exact median keeps a key's distinct values in memory. Keys of more than ``HOT_ROWS`` rows get theirs from a
+    numbering of all their values over a range partitioning instead, so no task holds a whole key. ``exact_median=False``
+    takes a sketch for all keys, in one pass.
     """
     named = {f"v{i}": c for i, c in enumerate(columns)}  # a column may be called key
     rows = df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key"), *[F.col(f"`{c}`").cast("double").alias(v) for v, c in named.items()])
     means = rows.agg(*[F.avg(v).alias(v) for v in named])
     rows = rows.withColumns({v: F.coalesce(F.col(v), means.select(v).scalar()) for v in named})
     fns = {"mean": F.avg, "median": lambda v: _median(F.col(v), exact_median), "max": F.max, "min": F.min}
-    return rows.groupBy("key").agg(*[fns[a](v).alias(f"{c}_{a}") for v, c in named.items() for a in AGGREGATES])
+    aggs = {f"{c}_{a}": (fns[a], v) for v, c in named.items() for a in AGGREGATES}
+    hot = HotGroups(df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key")), ["key"], HOT_ROWS) if exact_median else None
+    if hot is None or hot.empty:
+        return rows.groupBy("key").agg(*[f(v).alias(n) for n, (f, v) in aggs.items()])
+    cold = hot.cold(rows).groupBy("key").agg(*[f(v).alias(n) for n, (f, v) in aggs.items()])
+    large = hot.hot(rows)
+    rest = large.groupBy("key").agg(*[f(v).alias(n) for n, (f, v) in aggs.items() if not n.endswith("_median")])
+    for v, c in named.items():
+        rest = rest.join(numbered_medians(large, "key", v).withColumnRenamed("median", f"{c}_median"), "key", "left")
+    return cold.unionByName(rest)
+
+
+def numbered_medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``key`` and ``median``, exact, for few keys of any size: all rows numbered by (key, value), then the middle ones."""
+    rows = number_rows(df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).alias("v")), ["key", "v"])
+    ends = rows.groupBy("key").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    middle = F.col("seq").isin(F.floor((F.col("first") + F.col("last")) / 2), F.ceil((F.col("first") + F.col("last")) / 2))
+    return rows.join(ends, "key").where(middle).groupBy("key").agg(F.avg("v").alias("median"))
 
 
 def text_features(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

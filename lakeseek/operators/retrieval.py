@@ -79,8 +79,8 @@ def eta_squared(features: DataFrame, query: DataFrame, key: str, target: str) ->
     sizes = rows.groupBy("c").agg(F.sum("w").alias("size"))
     x, w = F.col("value"), F.col("w")
     stats = rows.join(features.select(*group, "key", "value"), "key").groupBy(*group, "c").agg(F.sum(w).alias("n"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("ss"))
-    total = stats.groupBy(*group).agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("ss").alias("tss"))
-    between = stats.join(sizes, "c").join(total, group)
+    of_feature = Window.partitionBy(*group)  # a row a class
+    between = stats.withColumns({f"t{c}": F.sum(c).over(of_feature) for c in ("n", "s", "ss")}).join(sizes, "c")
     gap = F.col("s") / F.col("n") - F.col("ts") / F.col("tn")
     spread = F.col("tss") - F.col("ts") * F.col("ts") / F.col("tn")
     marked = between.withColumns({"gap": gap, "spread": F.when(spread > 1e-12 * F.abs(F.col("tss")), spread)})

@@ -60,6 +60,28 @@ def check_query(query: DataFrame, key: str, target: str) -> list[str]:
     return base
 
 
+def l1_classes(query: DataFrame, key: str, target: str, base: list[str], wide: DataFrame, names: list[str], alphas: list[float], folds: int) -> dict[str, float]:
+    """Candidate columns with a non-zero coefficient in an L1 logistic regression over the joined rows, and its size.
+
+    The penalty is cross-validated; missing values are the column's mean; Spark standardises the columns.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    joined = query.join(wide.withColumnRenamed("key", "__key"), F.col(key).cast("string") == F.col("__key"), "left")
+    inputs = {c: f"f{i}" for i, c in enumerate([*base, *names])}
+    means = joined.agg(*[F.avg(f"`{c}`").alias(f) for c, f in inputs.items()]).first()
+    rows = joined.select(F.col(target).cast("double").alias("label"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(means[f] or 0.0)).alias(f) for c, f in inputs.items()])
+    rows = VectorAssembler(inputCols=list(inputs.values()), outputCol="features").transform(rows).select("label", "features")
+    model = LogisticRegression(elasticNetParam=1.0, maxIter=50)
+    grid = ParamGridBuilder().addGrid(model.regParam, alphas).build()
+    found = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, seed=42).fit(rows).bestModel
+    size = abs(found.coefficientMatrix.toArray()).max(axis=0)
+    return {c: float(v) for c, v in zip(inputs, size, strict=True) if c in names and v > 1e-9}
+
+
 @dataclass
 class Augmenter:
     """Finds joinable tables, prunes, scores from statistics, selects greedily, joins the winners once.
@@ -89,6 +111,10 @@ class Augmenter:
         self.threshold = d["threshold"] if self.threshold is ... else self.threshold
 
     def config(self) -> DiscoveryConfig:
+        if self.strategy == "LassoFeatureSelector":
+            model, metric = ("LinRegL1", "mse") if self.task == "regression" else ("LogRegL1", "f1_weighted")
+            self.params = {"metric": metric, "alphas": [0.001, 0.01, 0.1], "cv": 3} | self.params
+            return DiscoveryConfig(self.task, "passthrough", self.strategy, model, self.params)
         ranking = "passthrough" if self.strategy in ("ForwardSelection", "IncrementalSelection") else "correlation" if self.task == "regression" else "eta"
         params = {"metric": self.metric, "tol": self.tol} | ({"table_batch_size": 1} if self.strategy == "IncrementalSelection" else {}) | self.params
         return DiscoveryConfig(self.task, ranking, self.strategy, DEFAULTS[self.task]["model"], params)
@@ -127,6 +153,11 @@ class Augmenter:
                 columns[i].append(f"z{i}p{k}")
                 names.append(f"z{i}p{k}")
         label = target if self.task == "classification" else None
+        if label and self.strategy == "LassoFeatureSelector":
+            got = l1_classes(query, key, target, base, wide, names, self.params["alphas"], self.params["cv"])
+            chosen = [i for i in range(len(ids)) if set(columns[i]) & set(got)]
+            out = select.Selection([select.Candidate(str(i), (), ()) for i in chosen])
+            return [known[i].asDict() | {"score": max(got[c] for c in columns[i] if c in got)} for i in chosen], out
         gram = joined_gram(query, key, base, None if label else target, wide, names, label)
         place = {n: len(base) + i for i, n in enumerate(names)}
         candidates = [select.Candidate(str(i), tuple(place[c] for c in columns[i]), (r["table_index"], r["key_col_index"], r["base_col"])) for i, r in enumerate(known)]

@@ -184,6 +184,16 @@ def test_augmenter_of_classes(world):
     assert r.plan[0]["base_col"] in ("a", "b")
 
 
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_l1_selection(world, task):
+    q, f = world
+    if task == "classification":
+        q = q.withColumn("y", F.when(F.col("y") > 0, 1.0).otherwise(0.0))
+    r = api.Augmenter(f, task, strategy="LassoFeatureSelector", threshold=None, params={"alphas": [0.05], "cv": 2}).augment(q, "key", "y", debug=True)
+    assert {p["base_col"] for p in r.plan} & {"a", "b"}
+    assert r.table.count() == q.count()
+
+
 @pytest.mark.parametrize("strategy", ["BackwardElimination", "IncrementalSelection"])
 def test_other_strategies(world, strategy):
     q, f = world

@@ -49,6 +49,19 @@ def test_numeric_and_text_features(spark):
     assert rows_of(txt, "key", "t_mean", "t_max", "t_nunique") == {("k1", 3 / 4, 1.0, 2.0), ("k2", 2 / 4, 0.5, 1.0)}
 
 
+def test_features_of_hot_keys(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    rows = [("hot" if i % 3 else f"k{i % 20}", rnd.random() if i % 7 else None, float(rnd.randrange(4))) for i in range(2001)]
+    df = spark.createDataFrame([*rows, ("warm", 1.0, 2.0), ("warm", None, 4.0)], "k string, x double, y double").repartition(6)
+    want = {tuple(r) for r in feat.numeric_features(df, "k", ["x", "y"]).select("key", *[F.round(f"{c}_{a}", 9) for c in "xy" for a in feat.AGGREGATES]).collect()}
+    monkeypatch.setattr(feat, "HOT_ROWS", 30)
+    got = feat.numeric_features(df, "k", ["x", "y"])
+    assert set(got.columns) == {"key", *[f"{c}_{a}" for c in "xy" for a in feat.AGGREGATES]}
+    assert {tuple(r) for r in got.select("key", *[F.round(f"{c}_{a}", 9) for c in "xy" for a in feat.AGGREGATES]).collect()} == want
+
+
 def test_combined_drops_equal_and_constant_columns(spark):
     df = spark.createDataFrame([(i, float(i * i % 7), 5.0) for i in range(30)], "k int, x double, c double")
     assert feat.combined_features(df, "k", ["x", "c"], []).columns == ["key", "x_min"]
