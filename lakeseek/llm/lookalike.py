@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeseek.sources.shared import materialize
+
 # Letters of other scripts that are drawn like Latin ones, each string in the order of the one below it.
 CYRILLIC = "АВЕКМНОРСТУХаеорсухЅІЈѕіјһԁԛԝӀӏѵ"
 AS_LATIN_C = "ABEKMHOPCTYXaeopcyxSIJsijhdqwIlv"
@@ -134,21 +136,37 @@ def _automaton(rules: tuple[tuple[str, str], ...]):
     return a
 
 
+@lru_cache(maxsize=4)
+def _touched(rules: tuple[tuple[str, str], ...]) -> np.ndarray:
+    """Whether a code point is one that every match of some rule has, or has it in its decomposition."""
+    members = {m for m, _ in rules if len(m) == 1}
+    members |= {m[0] for m, _ in rules if members.isdisjoint(m)}
+    composed = (c for c in map(chr, range(0xC0, 0x30000)) if (d := unicodedata.decomposition(c)) and d[0] != "<")
+    members |= {c for c in composed if not members.isdisjoint(unicodedata.normalize("NFD", c))}
+    out = np.zeros(CODE_POINTS, bool)
+    out[[ord(c) for c in members]] = True
+    return out
+
+
 def rewriter(rules: tuple[tuple[str, str], ...]) -> Callable[[str], str]:
-    """The function that brings a text to its form."""
-    moved = [m for m, _ in rules if m.isascii()]
+    """The function that brings a text to its form.
+
+    A composed text without any character that a rule may change is its own form; only the others are taken apart.
+    """
+    touched = _touched(rules)
+    plain = not touched[:128].any()
 
     def one_form(text: str) -> str:
-        if not moved and text.isascii():
+        if plain and text.isascii():
             return text
+        if not touched[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            return unicodedata.normalize("NFC", text)
         text = unicodedata.normalize("NFD", text)
-        if rules:
-            out, at = [], 0
-            for end, (n, rep) in _automaton(rules).iter_long(text):
-                out += (text[at : end - n + 1], rep)
-                at = end + 1
-            text = "".join((*out, text[at:]))
-        return unicodedata.normalize("NFC", text)
+        out, at = [], 0
+        for end, (n, rep) in _automaton(rules).iter_long(text):
+            out += (text[at : end - n + 1], rep)
+            at = end + 1
+        return unicodedata.normalize("NFC", "".join((*out, text[at:])))
 
     return one_form
 
@@ -202,7 +220,8 @@ def equal_looking(df: DataFrame, scope: str, text: str, rules: tuple[tuple[str,
     rows = df.select(F.col(scope).alias("scope"), F.col(text).alias("text")).where(F.col("scope").isNotNull() & F.col("text").isNotNull())
     plain = not any(m.isascii() for m, _ in rules)
     other = rows.where(~is_ascii(F.col("text"))) if plain else rows
-    other = other.distinct().withColumn("form", form(F.col("text"), rules))
+    # Written once: three branches read it, and conditions on the form would otherwise run it on rows not yet distinct.
+    other = materialize(other.distinct().withColumn("form", form(F.col("text"), rules)), "forms")
     a, b = (other.select("scope", "form", F.col("text").alias(f"text_{x}")) for x in "ab")
     pairs = a.join(b, ["scope", "form"]).where(F.col("text_a") < F.col("text_b")).select("scope", "text_a", "text_b")
     if plain:
