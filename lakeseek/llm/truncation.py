@@ -12,9 +12,11 @@ All of it is JVM expressions; texts aren't shuffled, only lengths and flags are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeseek.sources.shared import materialize
+
 #: Characters at the end of a text in which its last lines are looked for.
 TAIL = 600
 #: Lengths on either side of one that say how often it would occur by chance.
@@ -38,38 +40,43 @@ _HEADING = r"(?:^|[\s|>])\p{Lu}[^\n.!?:|]{1,60}: [^\n.!?:,|]{1,60}\s\d{4}$|(?:^|
 _SEPARATOR = r"(?m)^\|(?:[ :]*-+[ :]*\|)+[ \t]*$"
 
 
-def ends_open(text: Column) -> Column:
-    """Whether a text ends inside a word, a sentence or an open structure; false for null, empty and blank texts."""
-    whole = F.regexp_replace(text, r"[\s\p{Z}\p{Cc}\p{Cf}]+$", "")
-    tail = F.regexp_replace(F.right(whole, F.lit(TAIL)), r"\r\n?", "\n")
-    # Closing tags and brackets that a transfer adds say nothing about what stands before them.
-    inner = F.regexp_replace(tail, r"(?:\s*</[A-Za-z]{1,10}>)+$", "")
+def with_open(df: DataFrame, text: str, name: str = "open") -> DataFrame:
+    """``df`` with the flag ``name``: whether the text ends inside a word, a sentence or an open structure.
+
+    False for null, empty and blank texts. Built in steps, so that each part is worked out once a row; all but fences and
+    tables is decided on the last ``TAIL`` characters.
+    """
+    blanks = r"[\s\p{Z}\p{Cc}\p{Cf}]+$"
+    end = F.regexp_replace(F.right(F.col(text), F.lit(4 * TAIL)), blanks, "")
+    # A text that ends in thousands of blanks is stripped as a whole.
+    end = F.when((F.length(end) == 0) & (F.length(text) > 4 * TAIL), F.regexp_replace(F.col(text), blanks, "")).otherwise(end)
+    df = df.withColumn("__end", F.right(end, F.lit(TAIL)))
+    # Closing tags that a transfer adds say nothing about what stands before them.
+    df = df.withColumn("__tail", F.regexp_replace(F.regexp_replace("__end", r"\r\n?", "\n"), r"(?:\s*</[A-Za-z]{1,10}>)+$", ""))
+    df = df.withColumn("__line", F.substring_index("__tail", "\n", -1))
+    tail, line, whole = F.col("__tail"), F.col("__line"), F.col(text)
     fences = (F.length(whole) - F.length(F.replace(whole, F.lit("```"), F.lit("")))) / 3
-    last_line = F.substring_index(inner, "\n", -1)
-    in_row = last_line.startswith("|") & whole.rlike(_SEPARATOR)
-    separator = F.regexp_extract(whole, _SEPARATOR, 0)
     bars = lambda c: F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit("")))
-    finished = inner.rlike(_FINISHED)
+    finished = tail.rlike(_FINISHED)
     structured = F.lit(False)
     for pattern in (_LIST, _LINK, _TAGS, _HASHTAGS, _SIGNATURE, _HEADING):
-        structured = structured | inner.rlike(pattern)
+        structured = structured | tail.rlike(pattern)
     is_open = (
-        F.when(F.coalesce(F.length(whole), F.lit(0)) == 0, False)
-        .when(inner.rlike(_MARK), True)
+        F.when(F.coalesce(F.length("__end"), F.lit(0)) == 0, False)
+        .when(tail.rlike(_MARK), True)
         .when(fences % 2 == 1, True)
-        .when(inner.endswith("```"), False)
-        .when(in_row & ~finished, ~last_line.rlike(r"\|[ \t]*$") | (bars(last_line) < bars(separator)))
-        .when(finished | structured, False)
-        .otherwise(True)
+        .when(tail.endswith("```") | finished, False)
+        .when(line.startswith("|") & whole.rlike(_SEPARATOR), ~line.rlike(r"\|[ \t]*$") | (bars(line) < bars(F.regexp_extract(whole, _SEPARATOR, 0))))
+        .otherwise(~structured)
     )
-    return F.coalesce(is_open, F.lit(False))
+    return df.withColumn(name, F.coalesce(is_open, F.lit(False))).drop("__end", "__tail", "__line")
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``id``, ``source``, lengths ``n_chars`` and ``n_bytes``, and whether the text ends open; blank texts have null lengths."""
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("t"))
-    filled = F.col("t").rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]")
-    return rows.select("id", "source", F.when(filled, F.length("t")).alias("n_chars"), F.when(filled, F.octet_length("t")).alias("n_bytes"), ends_open(F.col("t")).alias("open"))
+    rows = with_open(rows.withColumn("filled", F.col("t").rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]")), "t")
+    return rows.select("id", "source", F.when(F.col("filled"), F.length("t")).alias("n_chars"), F.when(F.col("filled"), F.octet_length("t")).alias("n_bytes"), "open")
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -101,7 +108,8 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
     Columns: ``id``, ``source``, ``n_chars``, ``n_bytes``, ``how``. Null, empty and blank texts weren't cut; a null
     source is a source; copies are judged each. An empty table gives an empty one. Other columns are ignored.
     """
-    rows = measured(df, id_col, text_col, source_col)
+    # Written once, without the texts: both the histograms and the judgement read it.
+    rows = materialize(measured(df, id_col, text_col, source_col), "lengths")
     found = limits(rows).groupBy("source").agg(F.collect_set(F.struct("unit", "low", "high")).alias("limits"))
     at = F.exists("limits", lambda x: F.when(x["unit"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes")).between(x["low"], x["high"]))
     joined = rows.join(found.withColumnRenamed("source", "limited"), F.col("source").eqNullSafe(F.col("limited")), "left")

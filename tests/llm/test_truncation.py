@@ -33,12 +33,12 @@ def test_open_ends(spark):
     # a short line alone would be a heading, so a sentence stands before each
     texts = ["It rained first. " + t if "\n" not in t else t for t in OPEN]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [t for t, r in zip(texts, df.select(T.ends_open(df["t"]).alias("o")).collect(), strict=True) if not r["o"]] == []
+    assert [t for t, r in zip(texts, T.with_open(df, "t", "o").collect(), strict=True) if not r["o"]] == []
 
 
 def test_finished_ends(spark):
     df = spark.createDataFrame([(t,) for t in FINISHED], "t string")
-    assert [t for t, r in zip(FINISHED, df.select(T.ends_open(df["t"]).alias("o")).collect(), strict=True) if r["o"]] == []
+    assert [t for t, r in zip(FINISHED, T.with_open(df, "t", "o").collect(), strict=True) if r["o"]] == []
 
 
 @pytest.fixture(scope="module")
