@@ -46,13 +46,15 @@ def with_open(df: DataFrame, text: str, name: str = "open") -> DataFrame:
     False for null, empty and blank texts. Built in steps, so that each part is worked out once a row; all but fences and
     tables is decided on the last ``TAIL`` characters.
     """
-    blanks = r"[\s\p{Z}\p{Cc}\p{Cf}]+$"
-    end = F.regexp_replace(F.right(F.col(text), F.lit(4 * TAIL)), blanks, "")
-    # A text that ends in thousands of blanks is stripped as a whole.
-    end = F.when((F.length(end) == 0) & (F.length(text) > 4 * TAIL), F.regexp_replace(F.col(text), blanks, "")).otherwise(end)
-    df = df.withColumn("__end", F.right(end, F.lit(TAIL)))
+    blank = r"[\s\p{Z}\p{Cc}\p{Cf}]"
+    end = F.right(F.col(text), F.lit(4 * TAIL))
+    # Most texts end in a visible character. One that ends in thousands of blanks is stripped as a whole.
+    stripped = F.regexp_replace(end, f"{blank}+$", "")
+    stripped = F.when((F.length(stripped) == 0) & (F.length(text) > 4 * TAIL), F.regexp_replace(F.col(text), f"{blank}+$", "")).otherwise(stripped)
+    df = df.withColumn("__end", F.right(F.when(F.right(F.col(text), F.lit(1)).rlike(blank), stripped).otherwise(end), F.lit(TAIL)))
     # Closing tags that a transfer adds say nothing about what stands before them.
-    df = df.withColumn("__tail", F.regexp_replace(F.regexp_replace("__end", r"\r\n?", "\n"), r"(?:\s*</[A-Za-z]{1,10}>)+$", ""))
+    lines = F.replace(F.replace(F.col("__end"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    df = df.withColumn("__tail", F.when(F.col("__end").endswith(">"), F.regexp_replace(lines, r"(?:\s*</[A-Za-z]{1,10}>)+$", "")).otherwise(lines))
     df = df.withColumn("__line", F.substring_index("__tail", "\n", -1))
     tail, line, whole = F.col("__tail"), F.col("__line"), F.col(text)
     fences = (F.length(whole) - F.length(F.replace(whole, F.lit("```"), F.lit("")))) / 3
