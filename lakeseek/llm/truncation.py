@@ -26,9 +26,10 @@ SPIKE_LEAST, SPIKE_TIMES = 5, 8
 #: Backing off to a word takes at most so many characters.
 BACK_OFF = 16
 
-# A sentence end, then closing quotes or brackets, then emoji.
+# Marks of a cut, the second kind in words. A sentence end, then closing quotes or brackets, then emoji.
 _FINISHED = r"""[.!?。！？؟।]["'”“’»)\]}*_]*[\s\p{So}\x{200d}\x{fe0f}]*$"""
 _MARK = r"""(?:(?:…|\.\.\.)[\])}>"'”’]*|\x{fffd})$"""
+_SAID = r"(?i)[\[({<](?:cont(?:inued|d|'d)?|more|cut|snip(?:ped)?|trunc(?:ated)?)\.{0,3}[\])}>]$"
 _LIST = r"(?:^|\n)[ \t]*(?:[-*+•]|\d+[.)])[ \t][^\n]*$"
 _LINK = r"""(?:https?://|www\.)[^\s<>"|]+/[^\s<>"|]*$"""
 _TAGS = r"(?:^|\n)\p{Lu}[\p{L}]*:[ \t][\p{L}\p{N}_ -]+(?:,[ \t]?[\p{L}\p{N}_ -]+)*$"
@@ -65,7 +66,7 @@ def with_open(df: DataFrame, text: str, name: str = "open") -> DataFrame:
         structured = structured | tail.rlike(pattern)
     is_open = (
         F.when(F.coalesce(F.length("__end"), F.lit(0)) == 0, False)
-        .when(tail.rlike(_MARK), True)
+        .when(tail.rlike(_MARK) | tail.rlike(_SAID), True)
         .when(fences % 2 == 1, True)
         .when(tail.endswith("```") | finished, False)
         .when(line.startswith("|") & whole.rlike(_SEPARATOR), ~line.rlike(r"\|[ \t]*$") | (bars(line) < bars(F.regexp_extract(whole, _SEPARATOR, 0))))

@@ -19,7 +19,7 @@ def prose(rnd, n):
 
 
 OPEN = [
-    "A sentence without an end", "Ends inside a wor", "Two clauses, but then,", "With a mark…", "With a mark [...]", "Also (more)", "Broken ch�", "Ends in an open tag</p>", "It rose from 5 to 1",
+    "A sentence without an end", "Ends inside a wor", "Two clauses, but then,", "With a mark…", "With a mark [...]", "Also (more)", "Over there. (cont.)", "All of it. [Truncated]", "Broken ch�", "Ends in an open tag</p>", "It rose from 5 to 1",
     "Code:\n```\nselect a", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |", "First part is done.\n\nThe oversized rows of", "He said ... (", "Some text ends with and so on ...",
 ]
 FINISHED = [
