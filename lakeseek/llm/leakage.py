@@ -20,6 +20,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ _WORD = re.compile(r"[^\W_]+")
 ITEM_CHARS = 1 << 24
 #: Windows that are fingerprinted together.
 CHUNK = 1 << 15
+#: Bytes of text whose words are held together.
+PORTION = 1 << 22
 SHINGLE = 5
 
 
@@ -76,7 +79,10 @@ class WindowIndex:
             mask = np.uint64((1 << (high - low)) - 1)
             values = (self.prints >> np.uint64(low)) & mask
             order = np.argsort(values, kind="stable")
-            self.blocks.append((np.uint64(low), mask, values[order], order))
+            values = values[order]
+            # Where each value of a narrow block begins, in place of a search.
+            begins = np.searchsorted(values, np.arange((1 << (high - low)) + 1, dtype=np.uint64)) if high - low <= 20 else None
+            self.blocks.append((np.uint64(low), mask, values, order, begins))
 
     def hashes(self, text: list[str]) -> np.ndarray:
         cache = self.cache
@@ -92,15 +98,20 @@ class WindowIndex:
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (place in ``prints``, window of an item) whose fingerprints differ in at most ``radius`` bits."""
         left, right = [], []
-        for low, mask, values, order in self.blocks:
+        for low, mask, values, order, begins in self.blocks:
             asked = (prints >> low) & mask
-            first, last = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
-            hit = np.flatnonzero(last > first)
-            for some in np.array_split(hit, max(1, int((last - first)[hit].sum() >> 22))):
-                n = (last - first)[some]
+            if begins is None:
+                first, last = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
+            else:
+                asked = asked.astype(np.int64)
+                first, last = begins[asked], begins[asked + 1]
+            size = last - first
+            hit = np.flatnonzero(size)
+            for some in np.array_split(hit, max(1, int(size[hit].sum() >> 20))):
+                n = size[some]
                 a = np.repeat(some, n)
-                b = order[np.repeat(first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                close = np.bitwise_count(prints[a] ^ self.prints[b]) <= self.radius
+                b = order[np.arange(len(a)) + np.repeat(first[some] - np.cumsum(n) + n, n)]
+                close = np.flatnonzero(np.bitwise_count(prints[a] ^ self.prints[b]) <= self.radius)
                 left.append(a[close])
                 right.append(b[close])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.zeros((0, 2), np.int64)
@@ -114,6 +125,16 @@ def similarity(a: list[str], b: list[str]) -> float:
     return (x & y).total() / (x | y).total()
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``PORTION`` bytes of text, as words take many times the room; a longer text is a portion alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PORTION, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _match(texts: list[list[str]], index: WindowIndex, least: float) -> Iterator[tuple[int, int, float, bool, int]]:
     """(document, item, best similarity, same passage, windows) of the documents of a batch."""
     w = index.window
@@ -168,12 +189,12 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
             one_form = lookalike.rewriter(rules)
             index = WindowIndex([(i, words(t, one_form)) for i, t in held.value], window, radius)
             names = ["doc_id", "item_id", "similarity", "same_passage", "windows"]
-            for b in batches:
-                got = list(_match([words(t.as_py(), one_form) for t in b.column(1)], index, least))
+            for part in (p for b in batches for p in _portions(b)):
+                got = list(_match([words(t.as_py(), one_form) for t in part.column(1)], index, least))
                 if got:
                     d, i, s, same, n = zip(*got, strict=True)
                     ids = pa.array([index.ids[x] for x in i], item_type)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), ids, pa.array(s), pa.array(same), pa.array(n)], names=names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), ids, pa.array(s), pa.array(same), pa.array(n)], names=names)
 
         from pyspark.sql.pandas.types import to_arrow_type
 

@@ -86,6 +86,16 @@ def test_fingerprint_is_the_majority_of_bits():
     assert len(K.fingerprints(h[:3], 5)) == 0
 
 
+def test_portions():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (10, 0, 5_000_000, 3, 4_000_000, 200_000, 7)] + [None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["i", "t"])
+    parts = [p.column(0).to_pylist() for p in K._portions(b)]
+    assert [i for p in parts for i in p] == list(range(8))
+    assert parts == [[0, 1], [2], [3, 4], [5, 6, 7]]
+
+
 def test_empty_tables(spark, tables):
     docs, items = frames(spark, tables)
     assert K.leaks(docs.limit(0), "d", "t", items, "i", "t").count() == 0
