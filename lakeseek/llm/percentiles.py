@@ -104,16 +104,18 @@ def sketch(df: DataFrame, keys: list[str], values: str, row: list[str] | None =
     ident = [c for c in (row or []) if c not in keys]
     rows = df.select(*keys, *ident, F.col(values).alias("__values"))
     hot = HotGroups(df.select(*keys), keys, rows_per_leaf)
-    leaves = F.ceil(F.col("__size_of_group") / F.lit(float(rows_per_leaf))).cast("bigint")
-    spread = F.xxhash64(*ident, "__values") if ident else F.xxhash64("__values", F.monotonically_increasing_id())
-    rows = hot.sized(rows, "__size_of_group").withColumn("__leaf", F.when(F.col("__size_of_group").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(spread, leaves))).drop("__size_of_group")
-    rows = rows.repartition(*keys, "__leaf")
+    leaf = [] if hot.empty else ["__leaf"]  # a constant leaf would hide from Spark that one shuffle serves all
+    if leaf:
+        leaves = F.ceil(F.col("__size_of_group") / F.lit(float(rows_per_leaf))).cast("bigint")
+        spread = F.xxhash64(*ident, "__values") if ident else F.xxhash64("__values", F.monotonically_increasing_id())
+        rows = hot.sized(rows, "__size_of_group").withColumn("__leaf", F.when(F.col("__size_of_group").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(spread, leaves))).drop("__size_of_group")
+    rows = rows.repartition(*keys, *leaf)
     if row is not None:
         rows = rows.distinct()
-    leafed = rows.withColumn("__values", valid_values(F.col("__values"))).groupBy(*keys, "__leaf").agg(F.flatten(F.collect_list("__values")).alias("__all"))
-    states = _from_values(leafed, [*keys, "__leaf"], "__all", k)
+    leafed = rows.withColumn("__values", valid_values(F.col("__values"))).groupBy(*keys, *leaf).agg(F.flatten(F.collect_list("__values")).alias("__all"))
+    states = _from_values(leafed, [*keys, *leaf], "__all", k)
     if hot.empty:
-        return states.drop("__leaf")
+        return states
     most = hot.table.agg(F.max("__size")).first()[0]
     left = ceil(most / rows_per_leaf)
     while left > 1:
