@@ -75,6 +75,23 @@ def conditional_mutual_information(df: DataFrame, a: str, b: str, given: str) ->
     return joined.agg(F.sum(F.col("n") / total * F.ln(F.col("n") * F.col("nc") / (F.col("nac") * F.col("nbc")))).alias("cmi"))
 
 
+def correlation_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
+    """One row ``ratio``: the square root of the share of a number's variance that lies between categories."""
+    rows = df.where(F.col(category).isNotNull() & F.col(value).isNotNull())
+    per = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    overall = rows.agg(F.avg(value).alias("m")).scalar()
+    between, within = F.sum(F.col("n") * (F.col("m") - overall) ** 2), F.sum(F.col("n") * F.col("v"))
+    return per.agg(F.when(between + within > 0, F.sqrt(between / (between + within))).alias("ratio"))
+
+
+def robust_dispersion(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(``by``, dispersion): the median absolute deviation over the absolute median; null for a median of 0."""
+    medians = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.median(value).alias("__m"))
+    rows = df.where(F.col(value).isNotNull()).join(medians, by)
+    spread = rows.groupBy(by).agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("d"), F.first("__m").alias("m"))
+    return spread.select(by, F.when(F.col("m") != 0, F.col("d") / F.abs("m")).alias("dispersion"))
+
+
 def equal_width_bin(c: Column, low: Column, high: Column, bins: int = 5) -> Column:
     """The number (from 0) of the bin of equal width."""
     return F.least(F.lit(bins - 1), F.floor((c - low) / F.when(high > low, high - low).otherwise(1.0) * bins)).cast("int")

@@ -55,6 +55,22 @@ def root_features(features: DataFrame, reached: DataFrame) -> DataFrame:
     return rows.groupBy("table_index", "table_name", "key_col_index", "feature", "base_col", F.col("root").alias("key")).agg(F.avg("value").alias("value"))
 
 
+def simple_paths(edges_: DataFrame, start: str, max_length: int) -> DataFrame:
+    """(path, weight): paths without repeated nodes from ``start`` over edges (source, target, weight), up to a length.
+
+    The weight of a path is the product of its edges'. One join a step; the frontier is never collected.
+    """
+    steps = edges_.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("weight").alias("w"))
+    frontier = steps.where(F.col("s") == start).select(F.array("s", "t").alias("path"), F.col("w").cast("double").alias("weight"))
+    out = frontier
+    for _ in range(max_length - 1):
+        last = F.element_at("path", -1)
+        frontier = frontier.join(steps, last == F.col("s")).where(~F.array_contains("path", F.col("t")))
+        frontier = materialize(frontier.select(F.array_append("path", F.col("t")).alias("path"), (F.col("weight") * F.col("w")).alias("weight")), "paths")
+        out = out.unionByName(frontier)
+    return out
+
+
 def chain_join(tables: list[tuple[DataFrame, str, str]], base: DataFrame) -> DataFrame:
     """Left joins along a path of (table, left column, right column), many to one; columns get the prefix ``t<i>.``.
 

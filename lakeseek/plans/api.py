@@ -101,6 +101,7 @@ class Augmenter:
     features_stop_list: dict[str, list[str]] | None = None
     prune_mode: str = "abs"
     trajectory: str | None = None
+    history: str | None = None
     params: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -146,12 +147,18 @@ class Augmenter:
         ids = [(r["table_index"], r["key_col_index"], r["feature"]) for r in known]
         wide = mat.pivot_features(fetched, ids, [f"z{i}" for i in range(len(ids))])
         columns, names = [[f"z{i}"] for i in range(len(ids))], [f"z{i}" for i in range(len(ids))]
-        degree = self.params.get("polynomial_features", {}).get("degree", 1) if self.params.get("polynomial_features", {}).get("enabled") else 1
+        degree = self._degree()
         for i in range(len(ids)):
             for k in range(2, degree + 1):
                 wide = wide.withColumn(f"z{i}p{k}", F.pow(f"z{i}", F.lit(float(k))))
                 columns[i].append(f"z{i}p{k}")
                 names.append(f"z{i}p{k}")
+        edges = self._edges(wide, len(ids))
+        bins = {i: [f"z{i}b{j}" for j in range(1, len(e) + 1)] for i, e in edges.items()}
+        for i, e in edges.items():
+            at = mat.bin_index(F.col(f"z{i}"), e)
+            wide = wide.withColumns({n: (at == j).cast("double") for j, n in enumerate(bins[i], 1)})
+            names += bins[i]
         label = target if self.task == "classification" else None
         if label and self.strategy == "LassoFeatureSelector":
             got = l1_classes(query, key, target, base, wide, names, self.params["alphas"], self.params["cv"])
@@ -160,7 +167,9 @@ class Augmenter:
             return [known[i].asDict() | {"score": max(got[c] for c in columns[i] if c in got)} for i in chosen], out
         gram = joined_gram(query, key, base, None if label else target, wide, names, label)
         place = {n: len(base) + i for i, n in enumerate(names)}
-        candidates = [select.Candidate(str(i), tuple(place[c] for c in columns[i]), (r["table_index"], r["key_col_index"], r["base_col"])) for i, r in enumerate(known)]
+        family = [(r["table_index"], r["key_col_index"], r["base_col"]) for r in known]
+        candidates = [select.Candidate(str(i), tuple(place[c] for c in columns[i]), family[i]) for i in range(len(ids))]
+        candidates += [select.Candidate(f"{i}=dummies", tuple(place[c] for c in b), family[i]) for i, b in bins.items()]
         budget = select.Budget(self.budget_seconds)
         if self.strategy == "BackwardElimination":
             out = select.backward(gram, candidates, self.metric, self.tol, budget=budget)
@@ -170,14 +179,39 @@ class Augmenter:
             out = select.lasso_selection(gram, candidates, self.params["alphas"])
         else:
             out = select.forward(gram, candidates, self.metric, self.tol, budget, select.Trajectory(self.trajectory))
-        plan = [known[int(c.name)].asDict() | {"score": s} for c, s in zip(out.accepted, [*out.scores, *[None] * len(out.accepted)], strict=False)]
+        if self.history:
+            select.write_history(out, self.history)
+        plan = []
+        for c, score in zip(out.accepted, [*out.scores, *[None] * len(out.accepted)], strict=False):
+            i, _, dummies = c.name.partition("=")
+            plan.append(known[int(i)].asDict() | {"score": score, "edges": edges[int(i)] if dummies else None})
         return plan, out
 
+    def _degree(self) -> int:
+        p = self.params.get("polynomial_features", {})
+        return p.get("degree", 2) if p.get("enabled") else 1
+
+    def _edges(self, wide: DataFrame, n: int) -> dict[int, list[float]]:
+        """Inner quantile edges of each candidate, if bin indicators are asked for: one aggregate for all."""
+        p = self.params.get("dummify_features", {})
+        if not p.get("enabled"):
+            return {}
+        qs = F.array(*[F.lit(k / p.get("n_bins", 4)) for k in range(1, p.get("n_bins", 4))])
+        row = wide.agg(*[F.percentile(f"z{i}", qs).alias(f"z{i}") for i in range(n)]).first()
+        return {i: e for i in range(n) if (e := sorted(set(row[f"z{i}"] or [])))}
+
     def _joined(self, fetched: DataFrame, chosen: tuple[list[dict], select.Selection], query: DataFrame, key: str) -> DataFrame:
         plan = chosen[0]
         ids = [(p["table_index"], p["key_col_index"], p["feature"]) for p in plan]
         names = mat.friendly_names([(p["table_index"], p["key_col_index"], p["table_name"], p["feature"]) for p in plan])
-        return mat.augment(query, key, fetched, ids, names)
+        out = mat.augment(query, key, fetched, ids, names)
+        for name, p in zip(names, plan, strict=True):
+            if p.get("edges"):
+                at = mat.bin_index(F.col(f"`{name}`"), p["edges"])
+                out = out.withColumns({f"{name}=bin_{j}": (at == j).cast("double") for j in range(1, len(p["edges"]) + 1)}).drop(name)
+            elif self._degree() > 1:
+                out = mat.power_columns(out, name, self._degree())
+        return out
 
     def augment(self, query: DataFrame, key: str, target: str, debug: bool = False) -> AugmentationResult:
         """The query table with the selected features. On a failure the table as it was and an empty plan; with

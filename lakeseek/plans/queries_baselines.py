@@ -181,6 +181,28 @@ def conditional_mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.conditional_mutual_information(read(spark, d, "documents"), "lang", "kind", "source"))
 
 
+@query("""with r as (select c_mktsegment as c, c_acctbal as v from customer where c_mktsegment is not null and c_acctbal is not null), p as (select c, count(*) as n, avg(v) as m, var_pop(v) as var from r group by 1)
+    select round(sqrt(sum(n * pow(m - (select avg(v) from r), 2)) / (sum(n * pow(m - (select avg(v) from r), 2)) + sum(n * var))), 6) as ratio from p""")
+def correlation_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(statistics.correlation_ratio(read(spark, d, "customer"), "c_mktsegment", "c_acctbal"))
+
+
+@query("""with m as (select l_suppkey, median(l_extendedprice) as m from lineitem group by 1) select l_suppkey, round(median(abs(l_extendedprice - m)) / any_value(abs(m)), 6) as dispersion from lineitem join m using (l_suppkey) group by 1""")
+def robust_dispersion(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(statistics.robust_dispersion(read(spark, d, "lineitem"), "l_suppkey", "l_extendedprice"))
+
+
+@query("""with recursive e as (select n_regionkey::varchar as source, ((n_regionkey + 1 + n_nationkey) % 5)::varchar as target, count(*) / 10.0::double as weight from nation group by 1, 2),
+    p as (select [source, target] as path, weight, 1 as len from e where source = '0' and target <> '0' union all select list_append(path, e.target), p.weight * e.weight, len + 1 from p join e on e.source = p.path[-1] where len < 3 and not list_contains(path, e.target))
+    select path, round(weight, 6) as weight from p""")
+def simple_paths(spark: SparkSession, d: str) -> DataFrame:
+    from lakeseek.operators.hops import simple_paths as paths
+
+    nation = read(spark, d, "nation")
+    edges = nation.groupBy(F.col("n_regionkey").cast("string").alias("source"), ((F.col("n_regionkey") + 1 + F.col("n_nationkey")) % 5).cast("string").alias("target")).agg((F.count(F.lit(1)) / 10).alias("weight"))
+    return rounded(paths(edges.where("source <> target"), "0", 3))
+
+
 @query()
 def mrmr_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.redundancy_scores(read(spark, d, "documents"), ["lang", "kind", "table_index"], "source"))

@@ -72,6 +72,16 @@ class Selection:
         return [c.name for c in self.accepted]
 
 
+def write_history(selection: Selection, path: str) -> None:
+    """All scores of all iterations as CSV, and beside it (``.json``) what was accepted with its scores."""
+    with open(path, "w", newline="") as f:
+        w = csv.DictWriter(f, ["iteration", "candidate", "score", "rank", "chosen"])
+        w.writeheader()
+        w.writerows(selection.history)
+    with open(f"{path}.json", "w") as f:
+        json.dump({"accepted": selection.names(), "scores": selection.scores, "base_score": selection.base_score, "expired": selection.expired}, f)
+
+
 def _gain(new: float, old: float) -> float:
     return (new - old) / max(abs(old), 1e-12)
 

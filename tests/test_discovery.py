@@ -184,6 +184,20 @@ def test_augmenter_of_classes(world):
     assert r.plan[0]["base_col"] in ("a", "b")
 
 
+def test_powers_and_bins_are_joined(world, tmp_path):
+    q, f = world
+    r = api.Augmenter(f, "regression", threshold=None, history=str(tmp_path / "h.csv"), params={"polynomial_features": {"enabled": True, "degree": 2}}).augment(q, "key", "y", debug=True)
+    assert {f"t0.csv.{r.plan[0]['feature']}", f"t0.csv.{r.plan[0]['feature']}^2"} <= set(r.table.columns)
+    assert (tmp_path / "h.csv").read_text().startswith("iteration,candidate,score,rank,chosen")
+    assert (tmp_path / "h.csv.json").exists()
+    stepped = q.withColumn("y", F.floor("y").cast("double"))
+    r = api.Augmenter(f, "regression", threshold=None, params={"dummify_features": {"enabled": True, "n_bins": 4}}).augment(stepped, "key", "y", debug=True)
+    for p in r.plan:
+        name = f"{p['table_name']}.{p['feature']}"
+        assert (name in r.table.columns) == (p["edges"] is None)
+        assert (f"{name}=bin_1" in r.table.columns) == (p["edges"] is not None)
+
+
 @pytest.mark.parametrize("task", ["regression", "classification"])
 def test_l1_selection(world, task):
     q, f = world
