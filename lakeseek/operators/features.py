@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from lakeseek.functions.text import KEY_LENGTH, base_column, normalize_key
 from lakeseek.operators.sequence import number_rows
 from lakeseek.operators.skew import HotGroups
+from lakeseek.sources.shared import materialize
 
 AGGREGATES = ("mean", "median", "max", "min")
 #: Rows from which the median of a key isn't taken in one task.
@@ -130,22 +131,29 @@ def fill_modes(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), modes.select(c).scalar()) for c in columns})
 
 
+def _column_facts(features: DataFrame, key: str, columns: list[str]) -> dict[str, tuple[int | None, bool]]:
+    """Per column a hash of all its (key, value) pairs, in which row order plays no part, and whether it is constant.
+
+    A column whose values all lie on one side of their mean, or on it, has equal values throughout, so its ends meet.
+    One aggregate serves all columns.
+    """
+    hashed = [F.expr(f"bit_xor(xxhash64(`{key}`, round(`{c}`, 9)))").alias(f"h{i}") for i, c in enumerate(columns)]
+    ends = [(F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]
+    row = features.agg(*hashed, *ends).first() if columns else {}
+    return {c: (row[f"h{i}"], row[f"c{i}"] is not False) for i, c in enumerate(columns)}
+
+
 def duplicate_columns(features: DataFrame, key: str, columns: list[str]) -> list[list[str]]:
-    """Classes of columns with equal values at every key, by one aggregate: a keyed hash, so row order plays no part."""
-    hashed = [F.expr(f"bit_xor(xxhash64(`{key}`, round(`{c}`, 9)))").alias(c) for c in columns]
-    row = features.agg(*hashed).first().asDict()
+    """Classes of columns with equal values at every key."""
     classes: dict[object, list[str]] = {}
-    for c in columns:
-        classes.setdefault(row[c], []).append(c)
+    for c, (h, _) in _column_facts(features, key, columns).items():
+        classes.setdefault(h, []).append(c)
     return list(classes.values())
 
 
 def constant_columns(features: DataFrame, columns: list[str]) -> list[str]:
-    """Columns whose values all lie on the same side of their mean (the variance of the sign is 0 or unknown)."""
-    means = features.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
-    signs = {c: F.signum(F.col(c) - F.lit(means[c])) for c in columns}
-    row = features.agg(*[(F.min(s) == F.max(s)).alias(c) for c, s in signs.items()]).first().asDict()
-    return [c for c in columns if row[c] or row[c] is None]
+    """Columns without two different values."""
+    return [c for c, (_, constant) in _column_facts(features, columns[0] if columns else "", columns).items() if constant]
 
 
 def combined_features(df: DataFrame, key: str, numeric: list[str], text: list[str], shares: bool = False, exact_median: bool = True) -> DataFrame:
@@ -162,10 +170,12 @@ def combined_features(df: DataFrame, key: str, numeric: list[str], text: list[st
         out = counted if out is None else out.join(counted, "key")
     if out is None:
         return df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key")).distinct()
-    columns = [c for c in out.columns if c != "key"]
-    kept = [group[-1] for group in duplicate_columns(out, "key", columns)]
-    constant = set(constant_columns(out, kept))
-    return out.select("key", *[c for c in kept if c not in constant])
+    out = materialize(out, "features")  # read again by the caller, after the columns are judged
+    classes: dict[object, list[str]] = {}
+    for c, (h, constant) in _column_facts(out, "key", [c for c in out.columns if c != "key"]).items():
+        if not constant:
+            classes.setdefault(h, []).append(c)
+    return out.select("key", *[group[-1] for group in classes.values()])
 
 
 def to_long(features: DataFrame, table_index: int, table_name: str, key_col_index: int, key_col: str) -> DataFrame:
