@@ -39,20 +39,23 @@ def overlapping_pairs(df: DataFrame, set_cols: list[str], id_col: str, share: fl
     or one with a single set, gives no pair. Other columns are ignored.
     """
     all_members = members(df, set_cols, id_col)
-    sizes = all_members.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     # need: ids that A must share with a set no smaller; in decimals, so that half of 41 is 21.
     need = F.ceil(F.lit(str(share)).cast("decimal(18,12)") * F.col("n").cast("decimal(18,0)")).cast("bigint")
+    sizes = all_members.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     sizes = sizes.withColumn("need", F.greatest(need, F.lit(1).cast("bigint")))
-    held = all_members.join(sizes, "set").select("set", "id", "n", "need")
-    held = materialize(held.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("id"))), "members")
+    # An id of one set joins nothing: it only takes a place in its set's head. The others are few and written once.
+    # Counting before the join leaves a hot id to Spark's splitting of skewed joins.
+    held = all_members.groupBy("id").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
+    shared_ids = materialize(all_members.join(held, "id").join(sizes, "set"), "members")
 
-    # An id of one set joins nothing but takes a place in the head; a histogram per set gives the head's end.
-    per_count = held.groupBy("set", "need", "n", "held").agg(F.count(F.lit(1)).alias("ids"))
-    upto = F.sum("ids").over(Window.partitionBy("set").orderBy("held").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # A histogram per set, of one row a count, gives the head's end; ids of one set come first.
+    per_count = shared_ids.groupBy("set", "need", "n", "held").agg(F.count(F.lit(1)).alias("ids"))
+    of_set = Window.partitionBy("set")
+    alone = F.col("n") - F.sum("ids").over(of_set)
+    upto = alone + F.sum("ids").over(of_set.orderBy("held").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     heads = per_count.withColumn("upto", upto).withColumn("in_head", (F.col("upto") - F.col("ids") < F.col("n") - F.col("need") + 1) | (F.col("held") <= common))
     ends = heads.where("in_head").groupBy("set").agg(F.max("held").alias("head_end"), (F.max("n") - F.max("upto")).alias("tail"))
 
-    shared_ids = held.where(F.col("held") > 1)
     marked = shared_ids.join(ends, "set")
     a = marked.where(F.col("held") <= F.col("head_end")).select("id", *[F.col(c).alias(f"a_{c}") for c in ("set", "n", "need", "tail")])
     b = shared_ids.select("id", F.col("set").alias("b_set"), F.col("n").alias("b_n"))
