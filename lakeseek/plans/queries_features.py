@@ -209,7 +209,7 @@ def update_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with num as (select table_index, key_col_index, key, col_name, sum(count_) as count_, min(min_) as min_, max(max_) as max_ from
+    with num as (select table_index, key_col_index, key, col_name, sum(count_)::bigint as count_, min(min_) as min_, max(max_) as max_ from
                  (select distinct table_index, key_col_index, key, col_name, state_day, count_, min_, max_ from num_state) group by all)
     select * from num""")
 def lake_state_merge(spark: SparkSession, d: str) -> DataFrame:
