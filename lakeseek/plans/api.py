@@ -138,7 +138,8 @@ class Augmenter:
         scores = ret.side_scores(whole, query, key, target, self.prune_mode) if self.task == "regression" else ret.eta_squared(got, query, key, target)
         return materialize(ret.prune(got, scores, self.threshold), "fetched")
 
-    def _selected(self, fetched: DataFrame, query: DataFrame, key: str, target: str, base: list[str]) -> tuple[list[dict], select.Selection]:
+    def _candidates(self, fetched: DataFrame) -> tuple:
+        """What is known of each candidate, and a row a key with all their columns: values, powers, bin indicators."""
         known = fetched.groupBy("table_index", "key_col_index", "table_name", "feature", "base_col").agg(F.count(F.lit(1)).alias("n")).orderBy("table_index", "key_col_index", "feature").collect()
         if not known:
             raise EmptyAugmentation("no feature survived pruning")
@@ -147,9 +148,8 @@ class Augmenter:
         ids = [(r["table_index"], r["key_col_index"], r["feature"]) for r in known]
         wide = mat.pivot_features(fetched, ids, [f"z{i}" for i in range(len(ids))])
         columns, names = [[f"z{i}"] for i in range(len(ids))], [f"z{i}" for i in range(len(ids))]
-        degree = self._degree()
         for i in range(len(ids)):
-            for k in range(2, degree + 1):
+            for k in range(2, self._degree() + 1):
                 wide = wide.withColumn(f"z{i}p{k}", F.pow(f"z{i}", F.lit(float(k))))
                 columns[i].append(f"z{i}p{k}")
                 names.append(f"z{i}p{k}")
@@ -159,19 +159,40 @@ class Augmenter:
             at = mat.bin_index(F.col(f"z{i}"), e)
             wide = wide.withColumns({n: (at == j).cast("double") for j, n in enumerate(bins[i], 1)})
             names += bins[i]
+        return known, ids, columns, names, wide, edges, bins
+
+    def _scored(self, query: DataFrame, key: str, target: str, base: list[str], known: list, columns: list[list[str]], names: list[str], wide: DataFrame, bins: dict[int, list[str]]) -> tuple:
+        """The one Gram matrix of a search, and the candidates as its columns."""
+        label = target if self.task == "classification" else None
+        gram = joined_gram(query, key, base, None if label else target, wide, names, label)
+        place = {n: len(base) + i for i, n in enumerate(names)}
+        family = [(r["table_index"], r["key_col_index"], r["base_col"]) for r in known]
+        candidates = [select.Candidate(str(i), tuple(place[c] for c in columns[i]), family[i]) for i in range(len(known))]
+        candidates += [select.Candidate(f"{i}=dummies", tuple(place[c] for c in b), family[i]) for i, b in bins.items()]
+        return gram, candidates
+
+    def explain(self, query: DataFrame, key: str, target: str) -> DataFrame:
+        """(table_name, feature, score, collinear) of all features that survive pruning, best first; selects nothing."""
+        base = check_query(query, key, target)
+        DiscoveryConfig(f"{self.task} explanation", "correlation" if self.task == "regression" else "eta")
+        fetched = self._pruned(self._hits(query, key), query, key, target)
+        known, _, columns, names, wide, _, bins = self._candidates(fetched)
+        gram, candidates = self._scored(query, key, target, base, known, columns, names, wide, bins)
+        rows = [(known[int(n.partition("=")[0])]["table_name"], known[int(n.partition("=")[0])]["feature"] + ("=dummies" if "=" in n else ""), v, bad) for n, v, bad in select.explanation(gram, candidates)]
+        return query.sparkSession.createDataFrame(rows, "table_name string, feature string, score double, collinear boolean")
+
+    def _selected(self, fetched: DataFrame, query: DataFrame, key: str, target: str, base: list[str]) -> tuple[list[dict], select.Selection]:
+        known, ids, columns, names, wide, edges, bins = self._candidates(fetched)
         label = target if self.task == "classification" else None
         if label and self.strategy == "LassoFeatureSelector":
             got = l1_classes(query, key, target, base, wide, names, self.params["alphas"], self.params["cv"])
             chosen = [i for i in range(len(ids)) if set(columns[i]) & set(got)]
             out = select.Selection([select.Candidate(str(i), (), ()) for i in chosen])
             return [known[i].asDict() | {"score": max(got[c] for c in columns[i] if c in got)} for i in chosen], out
-        gram = joined_gram(query, key, base, None if label else target, wide, names, label)
-        place = {n: len(base) + i for i, n in enumerate(names)}
-        family = [(r["table_index"], r["key_col_index"], r["base_col"]) for r in known]
-        candidates = [select.Candidate(str(i), tuple(place[c] for c in columns[i]), family[i]) for i in range(len(ids))]
-        candidates += [select.Candidate(f"{i}=dummies", tuple(place[c] for c in b), family[i]) for i, b in bins.items()]
+        gram, candidates = self._scored(query, key, target, base, known, columns, names, wide, bins)
         budget = select.Budget(self.budget_seconds)
         if self.strategy == "BackwardElimination":
+            candidates = select.rank_by_separation(gram, candidates) if label else select.rank_by_correlation(gram, candidates)
             out = select.backward(gram, candidates, self.metric, self.tol, budget=budget)
         elif self.strategy == "IncrementalSelection":
             out = select.incremental(gram, candidates, self.metric, self.tol, self.params.get("table_batch_size", 1), budget)

@@ -264,6 +264,17 @@ def incremental_selection(spark: SparkSession, d: str) -> DataFrame:
     return _plan_rows(spark, r.plan)
 
 
+@query(f"""with {_LAKE}, {_CUST}, hits as ({_TOP.format('').replace('limit 3', 'limit 5')}),
+    f as (select * from lake join hits using (table_index, key_col_index) where key in (select key from q)),
+    m as (select table_index, table_name, key_col_index, feature, avg(value) as m from f group by 1, 2, 3, 4)
+    select m.table_name, m.feature, round(abs(corr(coalesce(f.value, m.m), q.y)), 4) as score
+    from q cross join m left join f on f.key = q.key and f.table_index = m.table_index and f.key_col_index = m.key_col_index and f.feature = m.feature group by m.table_index, 1, 2, m.key_col_index""")
+def explain_features(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates for the customers' balance with their correlation, unmatched customers at the mean."""
+    got = api.Augmenter(lake(spark, d), "regression", top_k=5, threshold=None).explain(customers(spark, d), "key", "y")
+    return rounded(got.drop("collinear"), 4)
+
+
 @query()
 def augment_customers(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: the customers with the features that discovery selects for their balance."""

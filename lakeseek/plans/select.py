@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from lakeseek.plans.proxy import RegressionScorer, collinear, lasso, scorer
+from lakeseek.plans.proxy import ClassScorer, RegressionScorer, collinear, lasso, scorer
 
 
 @dataclass(frozen=True)
@@ -209,6 +209,28 @@ def lasso_selection(gram, candidates: list[Candidate], lambdas: list[float]) ->
     return out
 
 
+def rank_by_separation(gram, candidates: list[Candidate]) -> list[Candidate]:
+    """Candidates by how far they alone separate the classes; all are kept."""
+    scores = ClassScorer(gram).score([], [list(c.columns) for c in candidates])
+    return [candidates[k] for k in np.argsort(-scores, kind="stable")]
+
+
+def explanation(gram, candidates: list[Candidate]) -> list[tuple[str, float, bool]]:
+    """(name, score, collinear) of each candidate, best first: |correlation| with a numeric target or the separation of
+    classes, and whether it depends on the base and the better ones."""
+    classes = bool(gram.classes)
+    ranked = rank_by_separation(gram, candidates) if classes else rank_by_correlation(gram, candidates, 1.0)
+    if classes:
+        score = dict(zip((c.name for c in ranked), ClassScorer(gram).score([], [list(c.columns) for c in ranked]), strict=True))
+    else:
+        s = RegressionScorer(gram, "r2")
+        score = {c.name: float(np.sqrt(max(s.of(list(c.columns)), 0))) for c in ranked}
+    std, _ = gram.standardized()
+    columns = [*range(gram.base), *(i for c in ranked for i in c.columns)]
+    bad = {columns[j] for j in collinear(std[np.ix_(columns, columns)])}
+    return [(c.name, float(score[c.name]), bool(bad & set(c.columns))) for c in ranked]
+
+
 def rank_by_correlation(gram, candidates: list[Candidate], share: float = 0.9) -> list[Candidate]:
     """Candidates by absolute correlation with the target, the upper ``share`` of them."""
     s = RegressionScorer(gram, "r2")

@@ -184,6 +184,19 @@ def test_augmenter_of_classes(world):
     assert r.plan[0]["base_col"] in ("a", "b")
 
 
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_explanation(world, task):
+    q, f = world
+    if task == "classification":
+        q = q.withColumn("y", F.when(F.col("y") > 0, 1.0).otherwise(0.0))
+    got = [tuple(r) for r in api.Augmenter(f, task, threshold=None).explain(q, "key", "y").collect()]
+    assert len(got) == 6
+    assert got[0][1] in ("a_mean", "a_max")
+    assert [r[2] for r in got] == sorted((r[2] for r in got), reverse=True)
+    assert {r[1]: r[3] for r in got}[got[1][1]]  # the other aggregate of a says the same
+    assert not got[0][3]
+
+
 def test_powers_and_bins_are_joined(world, tmp_path):
     q, f = world
     r = api.Augmenter(f, "regression", threshold=None, history=str(tmp_path / "h.csv"), params={"polynomial_features": {"enabled": True, "degree": 2}}).augment(q, "key", "y", debug=True)
