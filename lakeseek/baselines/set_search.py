@@ -126,17 +126,25 @@ def size_partitions(histogram: list[tuple[int, int]], n: int) -> list[tuple[int,
     return out[::-1]
 
 
-def ensemble_candidates(queries: DataFrame, signatures: DataFrame, partitions: list[tuple[int, int]], threshold: float, num_perm: int) -> DataFrame:
-    """Candidates for containment: each size partition has the bands for the Jaccard similarity that the containment
-    ``threshold`` implies for its largest set and the smallest query."""
-    least = queries.agg(F.min("size")).first()[0] or 1
-    out = None
-    for low, high in partitions:
-        jaccard = max(0.01, threshold * least / (least + high - threshold * least)) if high else threshold
-        b, r = best_bands(min(1.0, jaccard), num_perm)
-        part = band_candidates(queries, signatures.where(F.col("size").between(low, high)), b, r)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct() if out is not None else queries.select(F.col("set_id").alias("query_id"), "set_id").limit(0)
+def containing_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(query_id, set_id, shared, containment): every pair of sets of which ``set_id`` holds at least ``least`` of ``query_id``.
+
+    Exact. Of n tokens at least m = ceil(n * least) must be shared, so one of the n - m + 1 rarest is; only these heads are
+    joined, and the other tokens are counted afterwards for the pairs found. Sets of fewer than m tokens are left out.
+    """
+    frequency = sets.groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
+    sizes = sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"))
+    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("frequency", "token"))
+    ranked = sets.join(frequency, "token").withColumn("rank", rank).join(sizes, "set_id").withColumn("needed", F.ceil(F.col("size") * least - 1e-9))
+    head = F.col("rank") <= F.col("size") - F.col("needed") + 1
+    asked = ranked.select(F.col("set_id").alias("query_id"), "token", F.col("size").alias("n"), "needed", head.alias("head"))
+    holders = sets.join(sizes, "set_id")
+    met = asked.where("head").join(holders, "token").where((F.col("query_id") != F.col("set_id")) & (F.col("size") >= F.col("needed")))
+    met = met.groupBy("query_id", "set_id", "n", "needed").agg(F.count(F.lit(1)).alias("in_head"))
+    rest = asked.where(~F.col("head")).select("query_id", "token")
+    others = met.select("query_id", "set_id").join(rest, "query_id").join(sets, ["set_id", "token"]).groupBy("query_id", "set_id").agg(F.count(F.lit(1)).alias("others"))
+    found = met.join(others, ["query_id", "set_id"], "left").withColumn("shared", F.col("in_head") + F.coalesce("others", F.lit(0)))
+    return found.where(F.col("shared") >= F.col("needed")).select("query_id", "set_id", "shared", (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def containment(pairs: DataFrame, sets: DataFrame) -> DataFrame:

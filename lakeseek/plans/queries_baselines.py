@@ -74,12 +74,8 @@ def containment_join_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ensemble_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates for containment of 0.8 over partitions of set sizes, with their exact containment."""
-    sets = lake_sets(spark, d)
-    signed = set_search.minhash(sets, 32)
-    sizes = [(r["size"], r["n"]) for r in signed.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()]
-    pairs = set_search.ensemble_candidates(signed, signed, set_search.size_partitions(sizes, 4), 0.8, 32)
-    return rounded(set_search.containment(pairs, sets))
+    """All pairs of sets of which one holds at least 0.8 of the other, with their exact containment."""
+    return rounded(set_search.containing_sets(lake_sets(spark, d), 0.8))
 
 
 @query("""with q as (select embedding as e from embeddings where vec_id = (select min(vec_id) from embeddings))
