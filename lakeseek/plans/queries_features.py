@@ -286,3 +286,10 @@ def target_leaks(spark: SparkSession, d: str) -> DataFrame:
 def cleaned_text(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").where(F.col("text").isNotNull() & (F.length("text") == F.octet_length("text")))
     return docs.select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+
+
+@query()
+def cleaned_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a text, cleaned; non-ASCII characters are stripped. ``cleaned_text`` has only the all-ASCII texts, on which two engines can be compared."""
+    docs = read(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", clean_text(F.col("text")).alias("cleaned"))
