@@ -2,10 +2,10 @@
 
 A source with a field limit has a spike in the histogram of its text lengths, in characters or in bytes, with next to
 nothing above it; a source that cuts at a limit but backs off to a word has a pile just under its greatest length. Texts
-at such lengths that don't end like a finished text were cut by the limit (``limit``). A text cut in transfer has any
-length; it shows by its end alone: inside a word or sentence, inside an open table row or code block, with a mark of the
-cut or a broken character (``transfer``). Ends that authors leave without a full stop are finished: headings, list items,
-closed code, links, tag lines, signatures, whole table rows.
+at such lengths that don't end like a finished text were cut by the limit (``limit``): there only terminal punctuation and closed structures (code, whole table rows) are finished. A
+text cut in transfer has any length; it shows by its end alone: inside a word or sentence, inside an open table row or code
+block, with a mark of the cut or a broken character (``transfer``). At other lengths ends that authors leave without a full
+stop are finished as well: headings, list items, links, tag lines, signatures.
 
 All of it is JVM expressions; texts aren't shuffled, only lengths and flags are.
 """
@@ -41,11 +41,12 @@ _HEADING = r"(?:^|[\s|>])\p{Lu}[^\n.!?:|]{1,60}: [^\n.!?:,|]{1,60}\s\d{4}$|(?:^|
 _SEPARATOR = r"(?m)^\|(?:[ :]*-+[ :]*\|)+[ \t]*$"
 
 
-def with_open(df: DataFrame, text: str, name: str = "open") -> DataFrame:
+def with_open(df: DataFrame, text: str, name: str = "open", bare: str | None = None) -> DataFrame:
     """``df`` with the flag ``name``: whether the text ends inside a word, a sentence or an open structure.
 
-    False for null, empty and blank texts. Built in steps, so that each part is worked out once a row; all but fences and
-    tables is decided on the last ``TAIL`` characters.
+    The flag ``bare``, if named, is the same without the exemptions for ends that authors leave without a full stop: lists,
+    links, tags, signatures and headings. Both are false for null, empty and blank texts. Built in steps, so that each part is
+    worked out once a row; all but fences and tables is decided on the last ``TAIL`` characters.
     """
     blank = r"[\s\p{Z}\p{Cc}\p{Cf}]"
     end = F.right(F.col(text), F.lit(4 * TAIL))
@@ -64,22 +65,23 @@ def with_open(df: DataFrame, text: str, name: str = "open") -> DataFrame:
     structured = F.lit(False)
     for pattern in (_LIST, _LINK, _TAGS, _HASHTAGS, _SIGNATURE, _HEADING):
         structured = structured | tail.rlike(pattern)
-    is_open = (
+    certain = (
         F.when(F.coalesce(F.length("__end"), F.lit(0)) == 0, False)
         .when(tail.rlike(_MARK) | tail.rlike(_SAID), True)
         .when(fences % 2 == 1, True)
         .when(tail.endswith("```") | finished, False)
         .when(line.startswith("|") & whole.rlike(_SEPARATOR), ~line.rlike(r"\|[ \t]*$") | (bars(line) < bars(F.regexp_extract(whole, _SEPARATOR, 0))))
-        .otherwise(~structured)
-    )
-    return df.withColumn(name, F.coalesce(is_open, F.lit(False))).drop("__end", "__tail", "__line")
+    )  # null: only the exemptions can tell
+    df = df.withColumn("__certain", certain)
+    flags = {name: F.coalesce("__certain", ~structured, F.lit(False))} | ({bare: F.coalesce("__certain", F.lit(True))} if bare else {})
+    return df.withColumns(flags).drop("__end", "__tail", "__line", "__certain")
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``id``, ``source``, lengths ``n_chars`` and ``n_bytes``, and whether the text ends open; blank texts have null lengths."""
+    """``id``, ``source``, lengths ``n_chars`` and ``n_bytes``, and whether the text ends open and ``bare``; blank texts have null lengths."""
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("t"))
-    rows = with_open(rows.withColumn("filled", F.col("t").rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]")), "t")
-    return rows.select("id", "source", F.when(F.col("filled"), F.length("t")).alias("n_chars"), F.when(F.col("filled"), F.octet_length("t")).alias("n_bytes"), "open")
+    rows = with_open(rows.withColumn("filled", F.col("t").rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]")), "t", bare="bare")
+    return rows.select("id", "source", F.when(F.col("filled"), F.length("t")).alias("n_chars"), F.when(F.col("filled"), F.octet_length("t")).alias("n_bytes"), "open", "bare")
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
     found = limits(rows).groupBy("source").agg(F.collect_set(F.struct("unit", "low", "high")).alias("limits"))
     at = F.exists("limits", lambda x: F.when(x["unit"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes")).between(x["low"], x["high"]))
     joined = rows.join(found.withColumnRenamed("source", "limited"), F.col("source").eqNullSafe(F.col("limited")), "left")
-    how = F.when(F.col("open"), F.when(F.coalesce(at, F.lit(False)), "limit").otherwise("transfer"))
+    how = F.when(F.coalesce(at, F.lit(False)) & F.col("bare"), "limit").when(F.col("open"), "transfer")
     return joined.select("id", "source", "n_chars", "n_bytes", how.alias("how"))
 
 
