@@ -177,6 +177,23 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str, vector_
     return vectors.select(id_col, sim.alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = 1024) -> DataFrame:
+    """(query_id, id, similarity): the ``k`` vectors with the greatest cosine to each row of ``queries``, ties to the smaller id.
+
+    Vectors are packed into blocks of about ``block``; each query keeps ``k`` of a block, so that no pair but these is
+    shuffled and no task holds more than a block and a query. Null vectors and vectors of length 0 have no cosine and are left out.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    rows = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("length", F.sqrt(dot(F.col("v"), F.col("v")))).where(F.col("length") > 0)
+    n = max(1, -(-vectors.count() // block))
+    blocks = rows(vectors).groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v", "length")).alias("members"))
+    near = F.transform("members", lambda m: F.struct((-dot(m["v"], F.col("q")) / (m["length"] * F.col("q_length"))).alias("far"), m["id"].alias("id")))
+    asked = rows(queries).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("length").alias("q_length"))
+    pairs = asked.crossJoin(blocks).select("query_id", F.explode(F.slice(F.sort_array(near), 1, k)).alias("c")).select("query_id", "c.id", "c.far")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), (-F.col("far")).alias("similarity"))
+
+
 def column_text(df: DataFrame, columns: list[str], name: str, values: int = 20, length: int = 128) -> DataFrame:
     """(set_id, text): a column as the text ``<column>: v1, v2, ...`` of its most frequent values."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.substring(F.col(f"`{c}`").cast("string"), 1, length).alias("v")) for c in columns]))

@@ -86,6 +86,14 @@ def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(set_search.nearest(vectors, first, 10, "vec_id", "embedding"))
 
 
+@query("""select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings q, embeddings e where q.vec_id % 100 = 0
+    qualify row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) <= 10""")
+def embedding_topk_many(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100; ``embedding_topk`` asks for the first one only."""
+    vectors = read(spark, d, "embeddings")
+    return rounded(set_search.nearest_many(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10, "vec_id", "embedding"))
+
+
 @query()
 def column_embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     """Columns by the similarity of their most frequent values to those of the parts' brands."""
