@@ -46,6 +46,14 @@ def exact_topk(sets: DataFrame, query: DataFrame, k: int, token: str = "token")
     return sets.join(asked, "token").groupBy("set_id").agg(F.countDistinct("token").alias("overlap")).orderBy(F.desc("overlap"), "set_id").limit(k)
 
 
+def exact_topk_many(sets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``exact_topk`` for each ``query_id`` of ``queries`` (query_id, token): (query_id, set_id, overlap)."""
+    asked = queries.select("query_id", "token").where(is_token(F.col("token"))).distinct()
+    shared = asked.join(sets.select("set_id", "token").distinct(), "token").groupBy("query_id", "set_id").agg(F.count(F.lit(1)).alias("overlap"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "set_id"))
+    return shared.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
 def md5_number(c: Column) -> Column:
     """The first eight hexadecimal digits of the md5, as a number."""
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
@@ -155,9 +163,12 @@ def containment(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.join(n, "query_id").select("query_id", "set_id", "shared", (F.col("shared") / F.col("n")).alias("containment"))
 
 
-def containment_paths(sets: DataFrame, query_ids: list[str], least: float = 0.1, top: int = 20) -> DataFrame:
-    """(query_id, set_id, shared, containment): sets that hold at least ``least`` of a query set, the ``top`` of each."""
-    asked = sets.where(F.col("set_id").isin(query_ids))
+def containment_paths(sets: DataFrame, query_ids: list[str] | Column, least: float = 0.1, top: int = 20) -> DataFrame:
+    """(query_id, set_id, shared, containment): sets that hold at least ``least`` of a query set, the ``top`` of each.
+
+    The query sets are those of the ids listed, or those for which a condition on ``set_id`` holds.
+    """
+    asked = sets.where(query_ids if isinstance(query_ids, Column) else F.col("set_id").isin(query_ids))
     q = asked.withColumnRenamed("set_id", "query_id")
     n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     shared = q.join(sets, "token").where(F.col("query_id") != F.col("set_id")).groupBy("query_id", "set_id").agg(F.count(F.lit(1)).alias("shared"))

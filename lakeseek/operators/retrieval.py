@@ -35,6 +35,16 @@ def overlap_topk(keys: DataFrame, query: DataFrame, k: int, key: str = "key", ex
     return hits.orderBy(F.desc("n"), *PAIR).limit(k).withColumn("ratio", F.col("n") / total.scalar())
 
 
+def overlap_topk_many(keys: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``overlap_topk`` for each ``query_id`` of ``queries`` (query_id, key): query_id, the pair, ``n`` and ``ratio``."""
+    asked = queries.where(F.col("key").isNotNull()).select("query_id", F.col("key").cast("string").alias("key")).distinct()
+    hits = keys.join(asked, "key").groupBy("query_id", *PAIR).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), *PAIR))
+    total = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    top = hits.withColumn("rank", rank).where(F.col("rank") <= k).join(total, "query_id")
+    return top.select("query_id", *PAIR, "n", (F.col("n") / F.col("total")).alias("ratio"))
+
+
 def fetch(features: DataFrame, hits: DataFrame, query: DataFrame, key: str = "key") -> DataFrame:
     """The features of the hit pairs at the query's keys; ``hits`` has at most k rows and is broadcast."""
     asked = query.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).distinct()

@@ -39,6 +39,14 @@ def exact_set_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
     return set_search.exact_topk(lake_sets(spark, d), asked, 10)
 
 
+@query(f"""with s as ({_LAKE_SETS}), q as (select distinct table_index as query_id, trim(key) as token from overlap_table where table_index % 100 = 0)
+    select query_id, set_id, count(*) as overlap from q join s using (token) group by 1, 2 qualify row_number() over (partition by query_id order by count(*) desc, set_id) <= 10""")
+def exact_set_overlap_topk_many(spark: SparkSession, d: str) -> DataFrame:
+    """``exact_set_overlap_topk`` for every table whose index is divisible by 100, in place of the first table only."""
+    asked = read(spark, d, "overlap_table").where(F.col("table_index") % 100 == 0).select(F.col("table_index").alias("query_id"), F.trim("key").alias("token"))
+    return set_search.exact_topk_many(lake_sets(spark, d), asked, 10)
+
+
 @query(f"with s as ({_SETS}), f as (select token, count(*) as frequency from s group by 1) select token, frequency, row_number() over (order by frequency, token) as token_id from f")
 def token_order(spark: SparkSession, d: str) -> DataFrame:
     return set_search.token_order(column_sets(spark, d))
@@ -72,6 +80,15 @@ def containment_join_paths(spark: SparkSession, d: str) -> DataFrame:
     return rounded(set_search.containment_paths(sets, [sets.agg(F.min("set_id")).first()[0]]))
 
 
+@query(f"""with s as ({_LAKE_SETS}), q as (select * from s where split_part(set_id, '.', 1)::bigint % 100 = 0), n as (select set_id as query_id, count(*) as n from q group by 1),
+    c as (select q.set_id as query_id, s.set_id, count(*) as shared from q join s using (token) where q.set_id <> s.set_id group by 1, 2)
+    select query_id, set_id, shared, round(shared / n, 6) as containment from c join n using (query_id) where shared / n >= 0.1 qualify row_number() over (partition by query_id order by shared / n desc, set_id) <= 20""")
+def containment_join_paths_many(spark: SparkSession, d: str) -> DataFrame:
+    """``containment_join_paths`` for every set of a table whose index is divisible by 100, in place of the first set only."""
+    asked = F.substring_index("set_id", ".", 1).cast("bigint") % 100 == 0
+    return rounded(set_search.containment_paths(lake_sets(spark, d), asked))
+
+
 @query()
 def ensemble_candidates(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of sets of which one holds at least 0.8 of the other, with their exact containment."""

@@ -71,6 +71,17 @@ def overlap_topk_lake(spark: SparkSession, d: str) -> DataFrame:
     return rounded(retrieval.overlap_topk(keys, keys.where(F.col("table_index") == first.scalar()).select("key"), 20))
 
 
+@query("""
+    with k as (select distinct table_index, key_col_index, key from overlap_table where key <> ''),
+    q as (select distinct table_index as query_id, key from k where table_index % 100 = 0), t as (select query_id, count(*) as t from q group by 1),
+    h as (select query_id, table_index, key_col_index, count(*) as n from k join q using (key) group by 1, 2, 3)
+    select query_id, table_index, key_col_index, n, round(n / t, 6) as ratio from h join t using (query_id) qualify row_number() over (partition by query_id order by n desc, table_index, key_col_index) <= 20""")
+def overlap_topk_lake_many(spark: SparkSession, d: str) -> DataFrame:
+    """``overlap_topk_lake`` for every table whose index is divisible by 100, in place of the first table only."""
+    keys = read(spark, d, "overlap_table").where(F.col("key") != "").select("table_index", "key_col_index", "key").distinct()
+    return rounded(retrieval.overlap_topk_many(keys, keys.where(F.col("table_index") % 100 == 0).select(F.col("table_index").alias("query_id"), "key"), 20))
+
+
 @query(f"with {_LAKE}, {_CUST}, hits as ({_TOP.format('')}) select table_index, key_col_index, key, feature, round(value, 6) as value from lake join hits using (table_index, key_col_index) where key in (select key from q)")
 def sketch_fetch(spark: SparkSession, d: str) -> DataFrame:
     features, q = lake(spark, d), customers(spark, d)
