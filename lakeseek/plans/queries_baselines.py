@@ -158,6 +158,15 @@ def column_pair_search(spark: SparkSession, d: str) -> DataFrame:
     return cells.column_pairs(_cells(spark, d), examples)
 
 
+@query(f"""with cells as ({_CELLS}), ex as (select distinct c_nationkey::varchar as x, c_mktsegment as y from customer where c_nationkey is not null and c_mktsegment is not null),
+    h as (select a.table_id, a.col_id as col_x, b.col_id as col_y, ex.x, ex.y from cells a join ex on a.value = ex.x join cells b on b.table_id = a.table_id and b.row_id = a.row_id and b.value = ex.y and b.col_id <> a.col_id)
+    select table_id, col_x, col_y, count(distinct (x, y)) as examples from h group by 1, 2, 3 having count(distinct (x, y)) >= 2""")
+def column_pair_search_all(spark: SparkSession, d: str) -> DataFrame:
+    """Column pairs by the (nation, segment) pairs of all customers; ``column_pair_search`` takes those of five nations only."""
+    examples = read(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("x"), F.col("c_mktsegment").alias("y"))
+    return cells.column_pairs(_cells(spark, d), examples)
+
+
 @query("select c_custkey as row_id, c_nationkey::varchar as nation, c_mktsegment as segment from customer where c_nationkey is not null or c_mktsegment is not null")
 def table_pivot(spark: SparkSession, d: str) -> DataFrame:
     return cells.rebuild(_cells(spark, d), 1, ["nation", "segment"])
