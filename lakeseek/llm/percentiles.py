@@ -193,15 +193,16 @@ def _narrow(df: DataFrame, known: DataFrame, keys: list[str], values: str, row:
     for c in keys:
         cond = cond & df[c].eqNullSafe(F.col(f"__{c}"))
     ident = [c for c in (row or []) if c not in keys]
-    rows = df.join(marks, cond).select(*[df[c] for c in [*keys, *ident]], valid_values(df[values]).alias("__v"), *[f"__{c}" for c in known.columns if c not in keys])
+    rows = df.join(marks, cond).select(*[df[c] for c in [*keys, *ident]], df[values].alias("__v"), *[f"__{c}" for c in known.columns if c not in keys])
     if row is not None:
-        rows = rows.distinct()
+        rows = rows.distinct()  # on the stored values, as in ``sketch``: rows that differ only in values left out below are two
+    rows = rows.withColumn("__v", valid_values(F.col("__v")))
     parts = []
     for p in "ab":
         parts.append(_between(rows, [*keys, *ident], p, F.col(f"__{p}_low"), F.col(f"__{p}_high")))
     parts = parts[0].unionByName(parts[1])
     counts = parts.groupBy(*keys, "__p").agg(F.sum("__below").alias("__below"), F.sum("__at").alias("__at"))
-    inner = sketch(parts, [*keys, "__p"], "__in", None if row is None else ident, k, rows_per_leaf, fan_in)
+    inner = sketch(parts, [*keys, "__p"], "__in", None, k, rows_per_leaf, fan_in)
     out = known
     for p in "ab":
         c = counts.where(F.col("__p") == p).select(*[F.col(x).alias(f"__k_{x}") for x in keys], "__below", "__at")
