@@ -218,6 +218,16 @@ def lake_state_merge(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("table_index", "key_col_index", "key", "col_name").agg(F.sum("count_").alias("count_"), F.min("min_").alias("min_"), F.max("max_").alias("max_"))
 
 
+@query()
+def lake_state_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Days of the lake's numeric state, written twice or not, merged whole: sums and values too. ``lake_state_merge`` merges counts and ends only.
+
+    No SQL: sums with sentinels of 1e18 depend on the order of the rows.
+    """
+    merged = state.merge_numeric([read(spark, d, "num_state").distinct()], ["table_index", "key_col_index", "key", "col_name"])
+    return merged.withColumn("sum_", F.round("sum_", 4))
+
+
 # -- sampling ---------------------------------------------------------------------------------------------------------
 
 _UNIT = "((('0x' || substr(md5({c}::varchar), 1, 13))::bigint + 1) / 4503599627370496.0::double)"
