@@ -1,21 +1,29 @@
 """Each run takes exactly the records that no successful run has taken.
 
-Records have sequence numbers. What successful runs took is kept as disjoint closed intervals of these numbers; a run
-subtracts them from the available ranges and takes the gaps, wherever they are, so records that were committed late,
-behind others already taken, are found as well. Its output and the intervals it took become visible by one rename, so
-a run that dies leaves nothing behind, and one that ends is never repeated.
+A record gets its sequence number once, when its file is first seen: the file and the place in it. Files of a log are
+only ever added, so a number never changes and is never given again, however late the record comes or how it sorts
+(``Arrivals``). What successful runs took is kept as disjoint closed intervals of these numbers (``Progress``); a run
+subtracts them from the available ranges and takes the gaps, wherever they are, so records that were committed late are
+found as well. Its output and the intervals it took become visible by one rename, so a run that dies leaves nothing
+behind, and one that ends is never repeated.
 """
 
 from __future__ import annotations
 
 import uuid
+from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeseek.sources.shared import children, exists, hadoop_path, publish
+
 #: Sequence numbers that are turned into intervals together.
 BLOCK = 1 << 16
 SCHEMA = "first bigint, last bigint"
+#: The stream of an interval of ``Arrivals``: the name of a file.
+FILE = {"file": "string"}
 
 
 def _segments(df: DataFrame, stream: list[str], takes: list[str]) -> DataFrame:
@@ -71,29 +79,115 @@ def to_intervals(df: DataFrame, stream: list[str], seq: str) -> DataFrame:
     return _joined(runs.select(*stream, "first", "last"), stream)
 
 
-def pending(records: DataFrame, ok_lines: DataFrame, stream: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(numbered records, gaps): what of ``records`` no line of ``ok_lines`` has taken.
+def _by_name(df: DataFrame) -> dict[str, str]:
+    """The files of a scan by their names."""
+    return {PurePosixPath(p).name: p for p in map(unquote, df.inputFiles())}
+
+
+class Arrivals:
+    """The records of a log of Parquet files, numbered at arrival.
 
-    A record is (``stream``, ``order``); repeated records and lines count once, in whatever order they arrive. Numbers
-    run over all records in the order of stream and ``order`` (from 1), so those of a stream are consecutive and its
-    newest record has the greatest. A line takes the record that is equal to it, null equal to null; other lines take
-    nothing. Records whose first ``order`` column is null are passed over. Empty tables give empty results.
+    ``ident``: columns that make a record what it is; a record delivered again, in the same file or a later one, is the
+    one known already and isn't available a second time. Without ``ident`` every row is a record. ``dated``: records with
+    a null in this column are never available.
+
+    ``<root>/arrivals/<n>`` holds what the n-th intake found: ``files`` (name, rows, time), ``ranges`` (available
+    intervals by file) and ``ids`` (``ident``, file, number), published together by one rename; of two intakes at once one
+    wins and the other has no effect. An intake reads new files only, and of the history only ``ids``, where there are
+    ``ident`` columns. File names identify files; a file that changed after its intake raises ``ValueError``.
     """
-    from lakeseek.operators.sequence import number_rows
 
-    known = records.where(F.col(order[0]).isNotNull()).select(stream, *order).distinct()
-    numbered = number_rows(known, [stream, *order])
-    lines = ok_lines.select(*[F.col(c).alias(f"l_{c}") for c in [stream, *order]]).distinct()
-    cond = F.lit(True)
-    for c in [stream, *order]:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"l_{c}"))
-    taken = to_intervals(numbered.join(lines, cond, "left_semi"), [stream], "seq")
-    available = numbered.groupBy(stream).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
-    return numbered, subtract_intervals(available, taken, [stream])
+    def __init__(self, spark: SparkSession, root: str, ident: list[str] | None = None, dated: str | None = None):
+        self.spark, self.root, self.ident, self.dated = spark, root.rstrip("/"), ident or [], dated
+
+    def _parts(self, what: str) -> list[str]:
+        return [f"{self.root}/arrivals/{n}/{what}" for n in children(self.spark, f"{self.root}/arrivals")]
+
+    def files(self) -> dict[str, tuple[int, int]]:
+        """Rows and time of change of every known file; as many entries as Spark itself lists for a scan."""
+        parts = self._parts("files")
+        return {r["file"]: (r["rows"], r["changed"]) for r in self.spark.read.parquet(*parts).collect()} if parts else {}
+
+    def ranges(self) -> DataFrame:
+        """Available intervals by file."""
+        parts = self._parts("ranges")
+        kind = f"file string, {SCHEMA}"
+        return self.spark.read.schema(kind).parquet(*parts) if parts else self.spark.createDataFrame([], kind)
+
+    def ids(self) -> DataFrame:
+        """``ident``, ``file`` and ``seq`` of every available record; needs ``ident`` and an intake."""
+        return self.spark.read.parquet(*self._parts("ids"))
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*paths).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__seq"))
+
+    def take_in(self, log: str) -> int:
+        """Number the records of files of ``log`` (a file or folder) that aren't known yet; returns how many files those are."""
+        now = _by_name(self.spark.read.parquet(log))
+        known = self.files()
+        seen = self._changed([*now.values()])
+        if changed := [f for f in now if f in known and known[f][1] != seen[f]]:
+            raise ValueError(f"files of the log changed after they were taken in: {sorted(changed)[:5]}")
+        fresh = [now[f] for f in sorted(now) if f not in known]
+        if not fresh:
+            return 0
+        staged, at = f"{self.root}/staged/{uuid.uuid4().hex}", len(children(self.spark, f"{self.root}/arrivals"))
+        rows = self._rows(fresh)
+        counts = {r["file"]: r["rows"] for r in rows.groupBy(F.col("__file").alias("file")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+        names = [f for f in sorted(now) if f not in known]
+        listed = self.spark.createDataFrame([(f, counts.get(f, 0), seen[f]) for f in names], "file string, rows bigint, changed bigint")
+        listed.coalesce(1).write.parquet(f"{staged}/files")
+        if self.dated:
+            rows = rows.where(F.col(self.dated).isNotNull())
+        if not self.ident:
+            new = rows.select(F.col("__file").alias("file"), F.col("__seq").alias("seq"))
+        else:
+            first = rows.groupBy(*self.ident).agg(F.min(F.struct("__file", "__seq")).alias("__at"))
+            if known and (parts := self._parts("ids")):
+                old = self.spark.read.parquet(*parts).select(*[F.col(c).alias(f"__old_{i}") for i, c in enumerate(self.ident)])
+                same = F.lit(True)
+                for i, c in enumerate(self.ident):
+                    same = same & F.col(c).eqNullSafe(F.col(f"__old_{i}"))
+                first = first.join(old, same, "left_anti")
+            first.select(*self.ident, F.col("__at.__file").alias("file"), F.col("__at.__seq").alias("seq")).write.parquet(f"{staged}/ids")
+            new = self.spark.read.parquet(f"{staged}/ids").select("file", "seq")
+        to_intervals(new, [*FILE], "seq").write.parquet(f"{staged}/ranges")
+        return len(fresh) if publish(self.spark, staged, f"{self.root}/arrivals/{at:08d}") else self.take_in(log)
+
+    def _changed(self, paths: list[str]) -> dict[str, int]:
+        out, folders = {}, {p.rpartition("/")[0] for p in paths}
+        for folder in folders:  # one listing a folder
+            p, fs = hadoop_path(self.spark, folder)
+            out |= {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(p)}
+        return out
+
+    def numbers(self, lines: DataFrame) -> DataFrame:
+        """``file`` and ``seq`` of the records that ``lines`` name by their ``ident`` columns, null equal to null."""
+        named = lines.select(*[F.col(c).alias(f"__line_{i}") for i, c in enumerate(self.ident)]).distinct()
+        same = F.lit(True)
+        for i, c in enumerate(self.ident):
+            same = same & F.col(c).eqNullSafe(F.col(f"__line_{i}"))
+        return self.ids().join(named, same, "left_semi").select("file", "seq")
+
+    def records(self, log: str, gaps: DataFrame) -> DataFrame:
+        """The rows of ``log`` in the intervals ``gaps``, and their ``file`` and ``seq``; other files aren't opened.
+
+        An interval is cut into blocks of numbers, so that a file of any number of rows and gaps is joined in many tasks.
+        """
+        wanted = {r["file"] for r in gaps.select("file").distinct().collect()}  # names of files to open
+        df = self.spark.read.parquet(log)
+        paths = [p for f, p in _by_name(df).items() if f in wanted]
+        if not paths:
+            return df.limit(0).select("*", F.lit("").alias("file"), F.lit(0).cast("bigint").alias("seq"))
+        block = lambda c: F.floor(F.col(c) / BLOCK)
+        cut = gaps.select(F.col("file").alias("__g"), F.col("first").alias("__first"), F.col("last").alias("__last"), F.explode(F.sequence(block("first"), block("last"))).alias("__block"))
+        rows = self._rows(paths)
+        inside = (F.col("__file") == F.col("__g")) & (block("__seq") == F.col("__block")) & F.col("__seq").between(F.col("__first"), F.col("__last"))
+        return rows.join(cut, inside).select(*[rows[c] for c in df.columns], F.col("__file").alias("file"), F.col("__seq").alias("seq"))
 
 
 class Progress:
-    """Outputs and taken intervals of the runs under one folder, for one writer at a time.
+    """Outputs and taken intervals of the runs under one folder.
 
     ``<root>/done/<run>/data`` and ``<root>/done/<run>/taken`` are written under another name and appear together by one
     rename. A run that died before it has no effect: the next one finds the same gaps. One that died after it is done.
@@ -101,16 +195,10 @@ class Progress:
 
     def __init__(self, spark: SparkSession, root: str, stream: dict[str, str]):
         self.spark, self.root, self.stream = spark, root.rstrip("/"), stream
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, p: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
 
     def runs(self) -> list[str]:
         """Names of the runs that ended well."""
-        done = self._path(f"{self.root}/done")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(done)) if self._fs.exists(done) else []
+        return children(self.spark, f"{self.root}/done")
 
     def taken(self) -> DataFrame:
         """Merged intervals that successful runs took."""
@@ -125,17 +213,13 @@ class Progress:
 
     def commit(self, run: str, output: DataFrame, taken: DataFrame) -> bool:
         """Publish ``output`` and the intervals it covers as ``run``; False, with no effect, if that run is done already."""
-        target = self._path(f"{self.root}/done/{run}")
-        if self._fs.exists(target):
+        target = f"{self.root}/done/{run}"
+        if exists(self.spark, target):
             return False
         staged = f"{self.root}/staged/{run}-{uuid.uuid4().hex}"
         output.write.parquet(f"{staged}/data")
         merge_intervals(taken, [*self.stream]).write.parquet(f"{staged}/taken")
-        self._fs.mkdirs(self._path(f"{self.root}/done"))
-        if self._fs.exists(target) or not self._fs.rename(self._path(staged), target):
-            self._fs.delete(self._path(staged), True)
-            return False
-        return True
+        return publish(self.spark, staged, target)
 
     def output(self) -> DataFrame | None:
         """The rows of all successful runs; None before the first."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeseek.operators import incremental, stitch
 from lakeseek.plans import queries_baselines, queries_discovery, queries_features
 from lakeseek.plans.catalogue import Query
+from lakeseek.sources.shared import materialize, scratch
 
 _PARTS = (queries_features.query, queries_discovery.query, queries_baselines.query)
 
@@ -19,25 +20,30 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("key", F.col("value").alias("table_index"))
 
 
-def _sync(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    meta, ledger, runs = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("tables_meta", "sync_ledger", "sync_runs"))
-    ok = runs.where(F.col("status") == "ok").select("run_id").distinct()
-    numbered, gaps = incremental.pending(meta, ledger.join(ok, "run_id", "left_semi"), "table_name", ["last_updated", "n_rows"])
-    return meta, numbered, gaps
+_RECORD = ["table_name", "last_updated", "n_rows"]
+
+
+def _sync(spark: SparkSession, d: str) -> tuple[incremental.Arrivals, DataFrame]:
+    """The numbered log of table records, and the gaps that the successful runs of the ledger leave."""
+    ledger, runs = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("sync_ledger", "sync_runs"))
+    lines = ledger.join(runs.where(F.col("status") == "ok").select("run_id").distinct(), "run_id", "left_semi")
+    root = scratch(spark, "sync")
+    log, done = incremental.Arrivals(spark, root, _RECORD, "last_updated"), incremental.Progress(spark, root, incremental.FILE)
+    log.take_in(f"{d}/tables_meta.parquet")
+    done.commit("ledger", lines, incremental.to_intervals(log.numbers(lines), [*incremental.FILE], "seq"))
+    return log, materialize(done.gaps(log.ranges()), "gaps")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Tables whose newest record no successful run has taken: those whose last gap reaches their newest number."""
-    meta, numbered, gaps = _sync(spark, d)
-    newest = numbered.groupBy("table_name").agg(F.max("seq").alias("last"))
-    due = gaps.select("table_name", "last").join(newest, ["table_name", "last"], "left_semi")
-    names = meta.select("table_name", "table_index").distinct()
-    return names.join(due, "table_name", "left_semi").select("table_index").distinct()
+    """Tables whose newest record no successful run has taken: of the records in the gaps, those that are their table's newest."""
+    log, gaps = _sync(spark, d)
+    newest = log.ids().groupBy("table_name").agg(F.max(F.struct("last_updated", "n_rows", "file", "seq")).alias("r")).select("r.file", "r.seq")
+    return log.records(f"{d}/tables_meta.parquet", gaps).join(newest, ["file", "seq"], "left_semi").select("table_index").distinct()
 
 
 def p5_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Records not taken by a successful run, as intervals of record numbers of each table."""
-    return _sync(spark, d)[2]
+    """Records not taken by a successful run, as intervals of their places in the file that brought them first."""
+    return _sync(spark, d)[1]
 
 
 def queries() -> dict[str, Query]:
@@ -65,10 +71,11 @@ def oracle_sql() -> dict[str, str]:
                 select 1 from ok where ok.table_name = n.table_name and ok.last_updated = n.last_updated and ok.n_rows is not distinct from n.n_rows)""",
         "p5_gaps": f"""
             with ok as ({_OK}),
-            records as (select *, row_number() over (order by table_name, last_updated, n_rows nulls first) as seq
-                        from (select distinct table_name, last_updated, n_rows from tables_meta where last_updated is not null)),
-            open as (select table_name, seq from records r where not exists (
-                select 1 from ok where ok.table_name = r.table_name and ok.last_updated = r.last_updated and ok.n_rows is not distinct from r.n_rows)),
-            runs as (select table_name, seq, seq - row_number() over (partition by table_name order by seq) as island from open)
-            select table_name, min(seq) as first, max(seq) as last from runs group by table_name, island""",
+            arrived as (select *, row_number() over () - 1 as place from tables_meta),
+            records as (select table_name, last_updated, n_rows, min(place) as seq from arrived where last_updated is not null group by all),
+            open as (select seq, exists (
+                select 1 from ok where ok.table_name is not distinct from r.table_name and ok.last_updated = r.last_updated
+                                       and ok.n_rows is not distinct from r.n_rows) as taken from records r),
+            runs as (select seq, seq - row_number() over (order by seq) as island from open where not taken)
+            select 'tables_meta.parquet' as file, min(seq) as first, max(seq) as last from runs group by island""",
     }

@@ -6,10 +6,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lakeseek.operators.incremental import Progress, merge_intervals, pending, subtract_intervals, to_intervals
+from lakeseek.operators import incremental
+from lakeseek.operators.incremental import FILE, Arrivals, Progress, merge_intervals, subtract_intervals, to_intervals
 from lakeseek.operators.sequence import number_rows
 from lakeseek.operators.skew import HotGroups
 from lakeseek.operators.stitch import most_frequent_value
+from lakeseek.sources.shared import children
 
 
 def brute(rows, least):
@@ -107,17 +109,92 @@ def test_numbers_to_intervals(spark):
     assert {tuple(r) for r in got.collect()} == {("a", 3, 5), ("a", 9, 9), ("a", 65_500, 65_599), (None, 7, 7)}
 
 
-def test_pending(spark):
+KIND = "t string, u int, n int"
+
+
+def deliver(spark, log, rows, kind=KIND):
+    """One more file in the log; returns its name."""
+    before = set(log.glob("*.parquet")) if log.exists() else set()
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(log))
+    return (set(log.glob("*.parquet")) - before).pop().name
+
+
+def run(spark, a, p, log, name, die=False):
+    """What a run takes; with ``die`` it ends before its results are published."""
+    gaps = p.gaps(a.ranges())
+    rows = a.records(str(log), gaps)
+    got = sorted(tuple(r)[:3] for r in rows.collect())
+    if die:
+        rows.write.parquet(f"{p.root}/staged/{name}/data")
+    else:
+        assert p.commit(name, rows, gaps)
+    return got
+
+
+def test_late_records_are_neither_skipped_nor_done_ones_repeated(spark, tmp_path):
+    log, a, p = tmp_path / "log", Arrivals(spark, str(tmp_path / "r"), ["t", "u", "n"], "u"), Progress(spark, str(tmp_path / "r"), FILE)
+    deliver(spark, log, [("a", 5, 1), ("b", 1, 1), ("b", 2, 1), ("b", 2, 1), ("c", None, 1)])
+    assert a.take_in(str(log)) == 1
+    assert run(spark, a, p, log, "r1", die=True) == [("a", 5, 1), ("b", 1, 1), ("b", 2, 1)]
+    assert run(spark, a, p, log, "r1") == [("a", 5, 1), ("b", 1, 1), ("b", 2, 1)]
+    # a record older than what was taken arrives late, with a second delivery of one that was taken
+    deliver(spark, log, [("a", 3, 1), ("b", 1, 1)])
+    assert a.take_in(str(log)) == 1 and a.take_in(str(log)) == 0
+    assert run(spark, a, p, log, "r2") == [("a", 3, 1)]
+    assert run(spark, a, p, log, "r3") == []
+    assert sorted(tuple(r)[:3] for r in p.output().collect()) == [("a", 3, 1), ("a", 5, 1), ("b", 1, 1), ("b", 2, 1)]
+    assert {tuple(r)[:3] for r in a.ids().collect()} == {("a", 5, 1), ("b", 1, 1), ("b", 2, 1), ("a", 3, 1)}
+
+
+def test_a_run_opens_new_files_only(spark, tmp_path):
+    log, a, p = tmp_path / "log", Arrivals(spark, str(tmp_path / "r")), Progress(spark, str(tmp_path / "r"), FILE)
+    deliver(spark, log, [("old", i, i) for i in range(500)])
+    assert a.take_in(str(log)) == 1
+    assert len(run(spark, a, p, log, "r1")) == 500
+    new = deliver(spark, log, [("new", None, 1), ("new", None, 1)])
+    a.take_in(str(log))
+    gaps = p.gaps(a.ranges())
+    rows = a.records(str(log), gaps)
+    assert [f.rpartition("/")[2] for f in rows.inputFiles() if "/log/" in f] == [new]
+    assert [tuple(r) for r in gaps.collect()] == [(new, 0, 1)]
+    assert rows.count() == 2  # without ident every row is a record, repeated ones too
+
+
+def test_lines_take_records_by_equality(spark, tmp_path):
     records = [("t1", 5, 10), ("t1", 7, 10), ("t1", 7, 11), ("t1", 6, 1), ("t2", 1, None), ("t2", 1, None), ("t3", None, 4), ("t4", 9, 1)]
     lines = [("t1", 7, 10), ("t1", 5, 10), ("t2", 1, None), ("t4", 9, 2), ("t9", 1, 1), ("t1", 7, 10)]
-    kind = "t string, u int, n int"
-    numbered, gaps = pending(spark.createDataFrame(records, kind), spark.createDataFrame(lines, kind), "t", ["u", "n"])
-    seq = {r["seq"]: (r["t"], r["u"], r["n"]) for r in numbered.collect()}
-    open_ = {seq[i] for r in gaps.collect() for i in range(r["first"], r["last"] + 1)}
-    assert open_ == {("t1", 6, 1), ("t1", 7, 11), ("t4", 9, 1)}
-    empty = spark.createDataFrame([], kind)
-    assert pending(empty, spark.createDataFrame(lines, kind), "t", ["u", "n"])[1].count() == 0
-    assert pending(spark.createDataFrame(records, kind), empty, "t", ["u", "n"])[1].count() == 3
+    log, a, p = tmp_path / "log", Arrivals(spark, str(tmp_path / "r"), ["t", "u", "n"], "u"), Progress(spark, str(tmp_path / "r"), FILE)
+    deliver(spark, log, records)
+    a.take_in(str(log))
+    df = spark.createDataFrame(lines, KIND)
+    assert p.commit("ledger", df, to_intervals(a.numbers(df), ["file"], "seq"))
+    assert run(spark, a, p, log, "next") == [("t1", 6, 1), ("t1", 7, 11), ("t4", 9, 1)]
+
+
+def test_logs_that_are_empty_or_changed(spark, tmp_path):
+    log, a, p = tmp_path / "log", Arrivals(spark, str(tmp_path / "r"), ["t"]), Progress(spark, str(tmp_path / "r"), FILE)
+    assert a.ranges().count() == 0
+    name = deliver(spark, log, [])
+    a.take_in(str(log))
+    assert a.ranges().count() == 0 and a.records(str(log), a.ranges()).count() == 0 and a.ids().count() == 0
+    import os
+
+    os.utime(log / name, (1, 1))
+    with pytest.raises(ValueError, match="changed"):
+        a.take_in(str(log))
+
+
+def test_of_two_intakes_at_once_one_wins(spark, tmp_path, monkeypatch):
+    log, root = tmp_path / "log", str(tmp_path / "r")
+    deliver(spark, log, [("a", 1, 1)])
+    first, second = Arrivals(spark, root, ["t"]), Arrivals(spark, root, ["t"])
+    first.take_in(str(log))
+    # the second one looked before the first one published
+    files, listed = iter([{}]), iter([[]])
+    monkeypatch.setattr(second, "files", lambda: next(files, None) or Arrivals.files(second))
+    monkeypatch.setattr(incremental, "children", lambda s, p: next(listed, None) or children(s, p))
+    assert second.take_in(str(log)) == 0
+    assert [tuple(r)[0] for r in second.ids().collect()] == ["a"]
 
 
 def test_runs_neither_skip_nor_repeat(spark, tmp_path):
