@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most groups that are held on the driver and broadcast; beyond it the split is an ordinary shuffled join.
@@ -12,15 +12,15 @@ MAX_LISTED = 10_000
 class HotGroups:
     """Groups of ``df`` with more than ``threshold`` rows, found with one count aggregated before its shuffle.
 
-    There are at most rows / threshold of them. Up to ``max_listed`` they are listed on the driver and broadcast;
+    ``weight``: what a row counts for, if not 1, for example the length of its array. There are at most rows / threshold of them. Up to ``max_listed`` they are listed on the driver and broadcast;
     if there are more, the joins below shuffle, with the same result.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], threshold: int, max_listed: int = MAX_LISTED):
+    def __init__(self, df: DataFrame, keys: list[str], threshold: int, max_listed: int = MAX_LISTED, weight: Column | None = None):
         self.keys = keys
         # Names of its own, as the rows it is joined with may descend from the same table.
         named = [F.col(k).alias(f"__hot{i}") for i, k in enumerate(keys)]
-        sizes = df.groupBy(*named).agg(F.count(F.lit(1)).alias("__size"))
+        sizes = df.groupBy(*named).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("bigint").alias("__size"))
         self.table = sizes.where(F.col("__size") > threshold)
         listed = self.table.limit(max_listed + 1).collect()
         self.listed = len(listed) <= max_listed

@@ -2,9 +2,10 @@
 
 Rows are range partitioned on the composite (key, value, further columns): Spark samples quantiles of the whole composite,
 so a heavy key is cut over as many tasks as its rows ask for and every task gets about the same. Sorted inside a task, a
-key is one run. Keys that begin and end inside a task are done there; only the first and the last key of a task can go
-on in a neighbour, and for these two the task hands on partial states. The partial states of the boundary keys are
-stitched by a small aggregation: its input is at most two keys a task, with one row for each value of the key.
+key is one run. Keys that begin and end inside a batch of a task are done there; only the first and the last key of a
+batch can go on in a neighbour, and for these two it hands on partial states, one row for each value, as they come: a
+task holds one batch, however many values a key has. The partial states of the boundary keys are stitched by two
+aggregations that both combine inside their tasks first.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeseek.sources.shared import materialize
@@ -60,40 +61,21 @@ def _best(t: pa.Table) -> tuple[pa.Table, pa.Array]:
 
 
 def _of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of the keys inside the partition (total set), partial states of its first and last key (total null)."""
-    row, first_key, open_runs = None, None, None
-
-    def partial(t: pa.Table) -> list[pa.RecordBatch]:
-        return t.append_column("total", pa.nulls(len(t), pa.int64())).to_batches()
-
-    def summed(t: pa.Table) -> pa.Table:
-        """Adds up a run that two batches share."""
-        key, value, n = (t.column(i).combine_chunks() for i in range(3))
-        at = np.flatnonzero(_new([key, value]))
-        return pa.table([key.take(pa.array(at)), value.take(pa.array(at)), pa.array(np.add.reduceat(n.to_numpy(), at))], names=["key", "value", "n"])
-
+    """Results of the keys inside a batch (total set), partial states of its first and last key (total null)."""
+    row = None
     for batch in batches:
         if not batch.num_rows:
             continue
         runs, row = _runs(batch, row)
-        t = pa.Table.from_batches([runs])
-        t = t if open_runs is None else pa.concat_tables([open_runs, t])
-        if not len(t):
+        if not runs.num_rows:
             continue
-        t = summed(t)
-        if first_key is None:
-            first_key = t.column(0)[0]
-        key = t.column(0).combine_chunks()
-        last = pc.equal(key, key[-1])
-        open_runs, done = t.filter(last), t.filter(pc.invert(last))
+        t = pa.Table.from_batches([runs])
+        key = runs.column(0)
+        edge = pc.or_(pc.equal(key, key[0]), pc.equal(key, key[-1]))
+        open_runs, done = t.filter(edge), t.filter(pc.invert(edge))
+        yield from open_runs.append_column("total", pa.nulls(len(open_runs), pa.int64())).to_batches()
         if len(done):
-            first = pc.equal(done.column(0), first_key)
-            yield from partial(done.filter(first))
-            done = done.filter(pc.invert(first))
-            if len(done):
-                yield from _best(done).to_batches()
-    if open_runs is not None:
-        yield from partial(open_runs)
+            yield from _best(done).to_batches()
 
 
 def most_frequent_value(df: DataFrame, key: str, value: str, others: list[str], least: int = 1) -> DataFrame:
@@ -111,7 +93,6 @@ def most_frequent_value(df: DataFrame, key: str, value: str, others: list[str],
     # Written once, as two branches read it: an inside key is a row of its own, a boundary key adds up its partial states.
     parts = materialize(parts.where(F.col("total").isNull() | (F.col("total") >= least)), "runs")
     pieces = parts.where(F.col("total").isNull()).groupBy("key", "value").agg(F.sum("n").alias("n"))
-    by_key = Window.partitionBy("key")
-    place = F.row_number().over(by_key.orderBy(F.desc("n"), "value"))
-    stitched = pieces.withColumns({"total": F.sum("n").over(by_key), "place": place}).where("place = 1").drop("place")
+    best = F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best")
+    stitched = pieces.groupBy("key").agg(best, F.sum("n").alias("total")).select("key", "best.value", (-F.col("best.n")).alias("n"), "total")
     return parts.where(F.col("total").isNotNull()).unionByName(stitched).where(F.col("total") >= least)
