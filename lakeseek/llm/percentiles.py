@@ -8,8 +8,8 @@ c = ceil(W / 2); that moves no rank by more than floor(W / 2), so ``err`` of a r
 states plus floor(W / 2). States are merged along a tree of fan-in ``fan_in``; each level adds at most n / 2k, so
 ``err <= n * levels / 2k``. States of other days, tables or clusters merge the same way.
 
-All steps are JVM expressions. A group of any size is split over leaves of about ``rows_per_leaf`` rows before it is
-gathered, so no task holds more than that, plus ``fan_in`` buffers of ``k`` values.
+All steps are JVM expressions. A group of any size is split over leaves of about ``leaf_values`` values before it is
+gathered, so no task holds more than that (or the values of one row), plus ``fan_in`` buffers of ``k`` values.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from lakeseek.sources.shared import materialize
 
 #: Values with a larger amount are sentinels, not values.
 SENTINEL = 1e17
+#: Values that are sorted together.
+LEAF_VALUES = 16_384
+#: States that are merged together.
+FAN_IN = 64
 STATE = ["n", "w", "err", "buf", "low", "high"]
 
 
@@ -88,11 +92,35 @@ def merge_states(states: DataFrame, keys: list[str], k: int = 1024) -> DataFrame
     ).drop("w").withColumnRenamed("__w", "w").select(*keys, *STATE)
 
 
-def sketch(df: DataFrame, keys: list[str], values: str, row: list[str] | None = None, k: int = 1024, rows_per_leaf: int = 65_536, fan_in: int = 64) -> DataFrame:
+def _climb(states: DataFrame, keys: list[str], leaves: int, k: int, fan_in: int) -> DataFrame:
+    """Merges states with ``__leaf`` below ``leaves`` along the tree, until each group of ``keys`` has one."""
+    while leaves > 1:
+        leaves = ceil(leaves / fan_in)
+        states = merge_states(states.withColumn("__leaf", F.floor(F.col("__leaf") / fan_in)), [*keys, "__leaf"], k)
+    return states.drop("__leaf")
+
+
+def combine(states: DataFrame, keys: list[str], parts: list[str], k: int = 1024, fan_in: int = FAN_IN) -> DataFrame:
+    """One state for every group of ``keys`` of states that were made apart, for example by day or table.
+
+    ``parts``: columns that tell the states of a group apart. Groups of more than ``fan_in`` states are merged along the
+    tree, so no task holds more than about ``fan_in`` of them. Null keys form a group. Empty in, empty out.
+    """
+    named = states.select(*keys, *[F.col(c).alias(f"__part{i}") for i, c in enumerate(parts)], *STATE)
+    hot = HotGroups(named.select(*keys), keys, fan_in)
+    if hot.empty:
+        return merge_states(named, keys, k)
+    most = hot.table.agg(F.max("__size")).first()[0]
+    leaf = F.pmod(F.xxhash64(*[f"__part{i}" for i in range(len(parts))]), F.col("__size_of_group"))
+    named = hot.sized(named, "__size_of_group").withColumn("__leaf", F.coalesce(leaf, F.lit(0).cast("bigint"))).drop("__size_of_group")
+    return _climb(named, keys, most, k, fan_in)
+
+
+def sketch(df: DataFrame, keys: list[str], values: str, row: list[str] | None = None, k: int = 1024, leaf_values: int = LEAF_VALUES, fan_in: int = FAN_IN) -> DataFrame:
     """One state for every group of ``keys`` over all entries of the array column ``values``.
 
     ``row``: columns that, with ``keys`` and ``values``, identify a row; rows equal in all of them count once. None
-    counts every row. Groups of more than ``rows_per_leaf`` rows are split over leaves by a hash of the row, so a copy of
+    counts every row. Groups of more than ``leaf_values`` entries are split over leaves by a hash of the row, so a copy of
     a row meets it in its leaf and one shuffle serves both deduplication and gathering.
 
     Null keys form a group; null, NaN, infinite and sentinel entries are left out; a group without any value gives no
@@ -103,10 +131,11 @@ def sketch(df: DataFrame, keys: list[str], values: str, row: list[str] | None =
         raise ValueError(f"keys can't be named like columns of a state: {taken}")
     ident = [c for c in (row or []) if c not in keys]
     rows = df.select(*keys, *ident, F.col(values).alias("__values"))
-    hot = HotGroups(df.select(*keys), keys, rows_per_leaf)
+    # At least 1 a row, as empty arrays take room as well.
+    hot = HotGroups(rows.select(*keys, "__values"), keys, leaf_values, weight=F.greatest(F.size("__values"), F.lit(1)))
     leaf = [] if hot.empty else ["__leaf"]  # a constant leaf would hide from Spark that one shuffle serves all
     if leaf:
-        leaves = F.ceil(F.col("__size_of_group") / F.lit(float(rows_per_leaf))).cast("bigint")
+        leaves = F.ceil(F.col("__size_of_group") / F.lit(float(leaf_values))).cast("bigint")
         spread = F.xxhash64(*ident, "__values") if ident else F.xxhash64("__values", F.monotonically_increasing_id())
         rows = hot.sized(rows, "__size_of_group").withColumn("__leaf", F.when(F.col("__size_of_group").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(spread, leaves))).drop("__size_of_group")
     rows = rows.repartition(*keys, *leaf)
@@ -116,12 +145,7 @@ def sketch(df: DataFrame, keys: list[str], values: str, row: list[str] | None =
     states = _from_values(leafed, [*keys, *leaf], "__all", k)
     if hot.empty:
         return states
-    most = hot.table.agg(F.max("__size")).first()[0]
-    left = ceil(most / rows_per_leaf)
-    while left > 1:
-        left = ceil(left / fan_in)
-        states = merge_states(states.withColumn("__leaf", F.floor(F.col("__leaf") / fan_in)), [*keys, "__leaf"], k)
-    return states.drop("__leaf")
+    return _climb(states, keys, ceil(hot.table.agg(F.max("__size")).first()[0] / leaf_values), k, fan_in)
 
 
 def bracket(q: float) -> tuple[Column, Column, Column]:
@@ -153,26 +177,47 @@ def percentiles(states: DataFrame, keys: list[str], qs: dict[str, float]) -> Dat
     return states.select(*out)
 
 
-def ratio_exceeds(df: DataFrame, keys: list[str], values: str, row: list[str] | None, upper: float, lower: float, factor: float, least: int, k: int = 1024, rows_per_leaf: int = 65_536, fan_in: int = 64, passes: int = 8) -> DataFrame:
+def ratio_exceeds(df: DataFrame, keys: list[str], values: str, row: list[str] | None, upper: float, lower: float, factor: float, least: int, k: int = 1024, leaf_values: int = LEAF_VALUES, fan_in: int = FAN_IN) -> DataFrame:
     """Groups of at least ``least`` values whose percentile ``upper`` exceeds ``factor`` times their percentile ``lower``.
 
     The bounds of the states decide most groups. For each group that they leave open a further pass sketches only the
     values strictly between the bounds of either percentile (fewer than one in k / levels) and so narrows it, until
-    every group is decided; the result is exact. ``passes`` only guards against endless work: it isn't reached, as a
-    pass leaves fewer than n * levels / k values.
+    every group is decided; the result is exact. Each pass leaves fewer values, so passes end by themselves.
     """
-    states = sketch(df, keys, values, row, k, rows_per_leaf, fan_in).where(F.col("n") >= least)
+    states = sketch(df, keys, values, row, k, leaf_values, fan_in).where(F.col("n") >= least)
     known = percentiles(states, keys, {"a": lower, "b": upper}).select(*keys, place(lower).alias("ra"), place(upper).alias("rb"), "a_low", "a_high", "b_low", "b_high")
     done = None
-    for at in range(passes + 1):
+    while True:
         known = materialize(known, "percentiles")
         sure = known.where(F.col("b_low") > factor * F.col("a_high")).select(*keys)
         done = sure if done is None else done.unionByName(sure)
         known = known.where((F.col("b_low") <= factor * F.col("a_high")) & (F.col("b_high") > factor * F.col("a_low")))
         if known.isEmpty():
             return done
-        known = _narrow(df, known, keys, values, row, k, rows_per_leaf, fan_in)
-    raise RuntimeError(f"percentiles undecided after {passes} passes")
+        known = _narrow(df, known, keys, values, row, k, leaf_values, fan_in)
+
+
+def hold_truth(df: DataFrame, known: DataFrame, keys: list[str], values: str, row: list[str] | None, qs: dict[str, float]) -> DataFrame:
+    """For every row of ``known`` (of ``percentiles``) and name in ``qs`` whether its bounds hold the true percentile.
+
+    Columns: ``keys``, ``n``, ``<name>_held``. The true value lies within iff fewer values than its place are below the
+    lower bound and at least as many are up to the upper one, so all values are compared but none is gathered or sorted.
+    """
+    marks = known.select(*[F.col(c).alias(f"__{c}") for c in known.columns])
+    ident = [c for c in (row or []) if c not in keys]
+    rows = df.select(*keys, *ident, F.col(values).alias("__v"))
+    if row is not None:
+        rows = rows.distinct()
+    same = F.lit(True)
+    for c in keys:
+        same = same & rows[c].eqNullSafe(F.col(f"__{c}"))
+    rows = rows.join(marks, same).withColumn("__v", valid_values(F.col("__v")))
+    below = lambda bound: F.sum(F.size(F.filter("__v", lambda v: v < bound)))
+    upto = lambda bound: F.sum(F.size(F.filter("__v", lambda v: v <= bound)))
+    counts = [f(F.col(f"__{x}_{end}")).alias(f"__{x}_{name}") for x in qs for f, end, name in ((below, "low", "below"), (upto, "high", "upto"))]
+    out = rows.groupBy(*keys, F.col("__n").alias("n")).agg(*counts)
+    held = [((F.col(f"__{x}_below") < place(q)) & (F.col(f"__{x}_upto") >= place(q))).alias(f"{x}_held") for x, q in qs.items()]
+    return out.select(*keys, "n", *held)
 
 
 def _between(rows: DataFrame, kept: list[str], name: str, low: Column, high: Column) -> DataFrame:
@@ -186,7 +231,7 @@ def _between(rows: DataFrame, kept: list[str], name: str, low: Column, high: Col
     )
 
 
-def _narrow(df: DataFrame, known: DataFrame, keys: list[str], values: str, row: list[str] | None, k: int, rows_per_leaf: int, fan_in: int) -> DataFrame:
+def _narrow(df: DataFrame, known: DataFrame, keys: list[str], values: str, row: list[str] | None, k: int, leaf_values: int, fan_in: int) -> DataFrame:
     """``known`` with closer bounds: each open percentile is searched among the values strictly between its bounds."""
     marks = known.select(*[F.col(c).alias(f"__{c}") for c in known.columns])
     cond = F.lit(True)
@@ -202,7 +247,7 @@ def _narrow(df: DataFrame, known: DataFrame, keys: list[str], values: str, row:
         parts.append(_between(rows, [*keys, *ident], p, F.col(f"__{p}_low"), F.col(f"__{p}_high")))
     parts = parts[0].unionByName(parts[1])
     counts = parts.groupBy(*keys, "__p").agg(F.sum("__below").alias("__below"), F.sum("__at").alias("__at"))
-    inner = sketch(parts, [*keys, "__p"], "__in", None, k, rows_per_leaf, fan_in)
+    inner = sketch(parts, [*keys, "__p"], "__in", None, k, leaf_values, fan_in)
     out = known
     for p in "ab":
         c = counts.where(F.col("__p") == p).select(*[F.col(x).alias(f"__k_{x}") for x in keys], "__below", "__at")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseek.llm import encode, leakage, lookalike, percentiles, set_overlap, top_n, truncation
+from lakeseek.sources.shared import materialize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,19 +24,37 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(states, ["col_name", "key"], {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
 
 
+def p1_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Every day and table sketched apart and their states merged: (col_name, key), its values, and whether the bounds hold the truth."""
+    df = spark.read.parquet(f"{d}/num_state.parquet")
+    group, part, qs = ["col_name", "key"], ["table_index", "state_day"], {"p50": 0.5, "p90": 0.9}
+    states = percentiles.sketch(df, [*group, *part], "values_", ["key_col_index"], k=128)
+    known = percentiles.percentiles(materialize(percentiles.combine(states, group, part, k=128), "states"), group, qs)
+    return percentiles.hold_truth(df, known, group, "values_", ["table_index", "key_col_index", "state_day"], qs)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The three keys with most distinct rows of every key column."""
     group = ["table_index", "key_col_index"]
     df = spark.read.parquet(f"{d}/overlap_table.parquet").where(F.col("key").isNotNull() & (F.col("key") != ""))
-    counts = top_n.distinct_rows(df, [*group, "key"], "row_index")
-    return top_n.top_n(counts, group, "n", ["key"], 3, sizes=df.select(*group)).select(*group, "key")
+    # Written once: the sizes of groups, the sampled ranges and both branches read the counts, not the rows.
+    counts = materialize(top_n.distinct_rows(df, [*group, "key"], "row_index"), "counts")
+    return top_n.top_n(counts, group, "n", ["key"], 3).select(*group, "key")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of key columns of at least 40 keys that share at least half of the keys of the smaller one."""
+_PAIR = [f"{c}_{s}" for s in "ab" for c in ("table_index", "key_col_index")]
+
+
+def p4_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of key columns of at least 40 keys that share at least half of the keys of the smaller one, with the exact sizes."""
     df = spark.read.parquet(f"{d}/overlap_table.parquet").select("table_index", "key_col_index", "key")
     pairs = set_overlap.overlapping_pairs(df, ["table_index", "key_col_index"], "key", 0.5, 40)
-    return pairs.select(*[F.col(f"set_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("table_index", "key_col_index")])
+    return pairs.select(*[F.col(f"set_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("table_index", "key_col_index")], "n_a", "n_b", "shared")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of ``p4_shared``."""
+    return p4_shared(spark, d).select(*_PAIR)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,15 +94,27 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p4_found, p6_found, p7_ids, p8_found, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p2_found, p4_found, p4_shared, p6_found, p7_ids, p8_found, p9_found, p9_sources)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p1_found": """
+_VALUES = """
             with rows_once as (select distinct table_index, key_col_index, key, col_name, state_day, values_ from num_state),
             v as (select col_name, key, unnest(values_) as x from rows_once),
-            good as (select col_name, key, x from v where x is not null and not isnan(x) and abs(x) <= 1e17),
+            good as (select col_name, key, x from v where x is not null and not isnan(x) and abs(x) <= 1e17)"""
+_OVERLAPS = """
+            with m as (select distinct table_index * 4294967296 + key_col_index as s, table_index, key_col_index, key from overlap_table where key <> ''),
+            sizes as (select s, any_value(table_index) as t, any_value(key_col_index) as c, count(*) as n from m group by s having count(*) >= 40),
+            k as (select m.s, m.key from m join sizes using (s)),
+            shared as (select a.s as sa, b.s as sb, count(*) as n from k a join k b on a.key = b.key and a.s < b.s group by 1, 2)
+            select a.t as table_index_a, a.c as key_col_index_a, b.t as table_index_b, b.c as key_col_index_b {more}
+            from shared join sizes a on a.s = sa join sizes b on b.s = sb where 2 * shared.n >= least(a.n, b.n)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_combined": f"""{_VALUES}
+            select col_name, key, count(*) as n, true as p50_held, true as p90_held from good group by col_name, key""",
+        "p1_found": f"""{_VALUES},
             ranked as (select col_name, key, x, row_number() over (partition by col_name, key order by x) as r,
                               count(*) over (partition by col_name, key) as n from good),
             q as (select col_name, key, max(case when r = (n + 1) // 2 then x end) as p50, max(case when r = (9 * n + 9) // 10 then x end) as p90, max(n) as n
@@ -94,11 +125,6 @@ def oracle_sql() -> dict[str, str]:
                             from (select distinct table_index, key_col_index, key, row_index from overlap_table where key <> '') group by all),
             ranked as (select *, row_number() over (partition by table_index, key_col_index order by n desc, key) as r from counts)
             select table_index, key_col_index, key from ranked where r <= 3""",
-        "p4_found": """
-            with m as (select distinct table_index * 4294967296 + key_col_index as s, table_index, key_col_index, key from overlap_table where key <> ''),
-            sizes as (select s, any_value(table_index) as t, any_value(key_col_index) as c, count(*) as n from m group by s having count(*) >= 40),
-            k as (select m.s, m.key from m join sizes using (s)),
-            shared as (select a.s as sa, b.s as sb, count(*) as n from k a join k b on a.key = b.key and a.s < b.s group by 1, 2)
-            select a.t as table_index_a, a.c as key_col_index_a, b.t as table_index_b, b.c as key_col_index_b
-            from shared join sizes a on a.s = sa join sizes b on b.s = sb where 2 * shared.n >= least(a.n, b.n)""",
+        "p4_found": _OVERLAPS.format(more=""),
+        "p4_shared": _OVERLAPS.format(more=", a.n as n_a, b.n as n_b, shared.n as shared"),
     }

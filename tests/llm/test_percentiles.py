@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeseek.llm import percentiles as P
 
 ROW = "g string, day int, v array<double>"
-SMALL = {"k": 16, "rows_per_leaf": 8, "fan_in": 4}
+SMALL = {"k": 16, "leaf_values": 92, "fan_in": 4}
 
 
 def exact(values, q):
@@ -79,6 +79,28 @@ def test_states_of_days_combine(spark, rows):
         assert got[g]["m_low"] <= exact(v, 0.5) <= got[g]["m_high"]
 
 
+@pytest.mark.parametrize("fan_in", [4, 64])
+def test_states_of_single_days_combine_along_the_tree(spark, rows, fan_in):
+    df = spark.createDataFrame(rows, ROW)
+    days = P.sketch(df, ["g", "day"], "v", None, k=8)
+    qs = {"m": 0.5, "u": 0.9}
+    known = P.percentiles(P.combine(days, ["g"], ["day"], 8, fan_in), ["g"], qs)
+    want = values_of(rows)
+    assert {r["g"]: r["n"] for r in known.collect()} == {g: len(v) for g, v in want.items()}
+    held = P.hold_truth(df, known, ["g"], "v", ["day"], qs).collect()
+    assert {tuple(r) for r in held} == {(g, len(v), True, True) for g, v in want.items()}
+    # bounds that are off don't hold
+    off = P.hold_truth(df, known.withColumn("m_high", F.col("m_low") - 1).withColumn("m_low", F.col("m_high")), ["g"], "v", ["day"], qs)
+    assert {r["m_held"] for r in off.collect()} == {False}
+    assert P.combine(days.limit(0), ["g"], ["day"]).count() == 0
+
+
+def test_a_row_of_many_values_counts_as_many(spark):
+    df = spark.createDataFrame([("a", i, [float(i * 100 + j) for j in range(100)]) for i in range(20)], ROW)
+    state = P.sketch(df, ["g"], "v", ["day"], k=16, leaf_values=200, fan_in=4).collect()
+    assert [(r["n"], len(r["buf"]) <= 16, r["err"] > 0) for r in state] == [(2000, True, True)]
+
+
 @pytest.mark.parametrize("options", [{}, SMALL])
 @pytest.mark.parametrize("factor", [1.5, 4.0, 8.0, 12.0])
 def test_ratio_is_exact(spark, rows, options, factor):
