@@ -57,16 +57,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_shared(spark, d).select(*_PAIR)
 
 
+def _looks(spark: SparkSession, d: str, of: Callable[[DataFrame, tuple], DataFrame]) -> DataFrame:
+    """``of`` applied to the texts of both fields under the rules of all of them; the tables are read once."""
+    fields = {"key": "overlap_table", "base_column": "aug_sketch"}
+    texts = {f: lookalike.distinct_texts(spark.read.parquet(f"{d}/{t}.parquet"), "table_index", f) for f, t in fields.items()}
+    rules = lookalike.fit(lookalike.code_point_counts([t.select("text", "n") for t in texts.values()]))
+    parts = [of(t, rules).withColumn("field", F.lit(f)).withColumnRenamed("scope", "table_index") for f, t in texts.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different stored keys, and of base columns, of one table that look the same."""
-    fields = {"key": "overlap_table", "base_column": "aug_sketch"}
-    tables = {f: spark.read.parquet(f"{d}/{t}.parquet") for f, t in fields.items()}
-    rules = lookalike.fit(lookalike.code_point_counts([df.select(f) for f, df in tables.items()]))
-    out = None
-    for f, df in tables.items():
-        pairs = lookalike.equal_looking(df, "table_index", f, rules).select(F.lit(f).alias("field"), F.col("scope").alias("table_index"), "text_a", "text_b")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    return _looks(spark, d, lookalike.pairs_of).select("field", "table_index", "text_a", "text_b")
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored key and base column that looks like another one of its table, with the representative of its class."""
+    return _looks(spark, d, lookalike.classes_of).select("field", "table_index", "text", "representative", "n", "size")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +101,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p2_found, p4_found, p4_shared, p6_found, p7_ids, p8_found, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p2_found, p4_found, p4_shared, p6_found, p6_classes, p7_ids, p8_found, p9_found, p9_sources)}
 
 
 _VALUES = """
