@@ -85,10 +85,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least 10 consecutive words of an evaluation item."""
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "eval_items"))
-    found = leakage.leaks(docs, "doc_id", "text", items, "item_id", "text", window=10)
+    found = leakage.leaks(docs, "doc_id", "text", items, "item_id", "text", window=10, item_radius=None)
     return found.where("same_passage").select("doc_id", "item_id").distinct()
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage like a whole evaluation item, also with words changed, or with ten of its words."""
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "eval_items"))
+    return leakage.leaks(docs, "doc_id", "text", items, "item_id", "text", window=10)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text was cut."""
     judged = truncation.truncated(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "source")
@@ -101,7 +107,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p2_found, p4_found, p4_shared, p6_found, p6_classes, p7_ids, p8_found, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p2_found, p4_found, p4_shared, p6_found, p6_classes, p7_ids, p8_found, p8_leaks, p9_found, p9_sources)}
 
 
 _VALUES = """
