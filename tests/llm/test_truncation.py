@@ -90,6 +90,36 @@ def test_complete_texts_at_the_limit_are_no_cases(spark, corpus):
 
 
 
+def test_the_histogram_decides_rows(spark):
+    """The same text is cut at a length where its source has a spike, and isn't where it has none."""
+    text = "It rained in the port. " * 9 + "\n- one: a per b\n- two: c per"
+    rnd = random.Random(4)
+    rows = [(i, text, "limited") for i in range(20)] + [(100 + i, prose(rnd, rnd.randrange(20, 150)), "limited") for i in range(50)]
+    spread = [(i, text if i == 0 else prose(rnd, rnd.randrange(20, 400)), "limited") for i in range(70)]
+    frame = lambda r: spark.createDataFrame(r, "d int, t string, s string")
+    how = lambda r: {x["id"]: x["how"] for x in T.truncated(frame(r), "d", "t", "s").collect()}
+    assert {k for k, v in how(rows).items() if v} == set(range(20))
+    assert not [k for k, v in how(spread).items() if v]
+
+
+def test_columns_have_limits_of_their_own(spark):
+    rnd = random.Random(6)
+    rows = [(i, prose(rnd, 500)[:200], prose(rnd, rnd.randrange(20, 400)), "s") for i in range(60)]
+    got = T.truncated(spark.createDataFrame(rows, "d int, a string, b string, column string"), "d", ["a", "b"], "column")
+    by = {r["column"]: r for r in T.by_source(got).collect()}
+    assert set(by) == {"a", "b"} and by["a"]["texts"] == by["b"]["texts"] == 60
+    assert by["a"]["cut_by_limit"] > 50 and by["b"]["cut_by_limit"] == by["b"]["cut_in_transfer"] == 0
+
+
+def test_long_last_lines(spark):
+    long = "word " * 400
+    finished = ["It rained.\n- " + long + "end", "It rained.\r\n12. " + long, "See https://a.example/" + "x" * 900, "It rained.\nTags: " + "soil, " * 200 + "port"]
+    middle = "It rained and " + "- " * 295 + "then it stopp"  # its last 600 characters begin like an item of a list
+    texts = [*finished, *("a" * k + middle for k in range(3)), "x" * 700 + " Then it " + "e" * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["o"] for r in T.with_open(df, "t", "o").collect()] == [False] * len(finished) + [True] * 4
+
+
 def test_very_long_and_empty(spark):
     df = spark.createDataFrame([(1, "word " * 200_000, "a"), (2, "word " * 200_000 + "end.", "a")], "d int, t string, s string")
     assert {r["id"]: r["how"] for r in T.truncated(df, "d", "t", "s").collect()} == {1: "transfer", 2: None}
