@@ -59,10 +59,19 @@ def md5_number(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
 
 
+def permutations(num_perm: int) -> list[tuple[int, int]]:
+    """Factor and summand of each permutation of the numbers below ``PRIME``: powers of two generators."""
+    return [(pow(48_271, i, PRIME), pow(16_807, i, PRIME)) for i in range(1, num_perm + 1)]
+
+
 def minhash(sets: DataFrame, num_perm: int = 16, by: str = "set_id", token: str = "token") -> DataFrame:
-    """(set_id, signature, size): the least hash of the tokens under each seed, as an array; map-side minima."""
-    mins = [F.min(md5_number(F.concat(F.lit(f"{i}|"), F.col(token)))).alias(f"h{i}") for i in range(num_perm)]
-    out = sets.groupBy(by).agg(F.count(F.lit(1)).alias("size"), *mins)
+    """(set_id, signature, size): the least number of the tokens under each permutation, as an array; map-side minima.
+
+    A token is hashed once, to 28 bits, so that products stay within 64 bits; the permutations are arithmetic.
+    """
+    h = F.conv(F.substring(F.md5(F.col(token)), 1, 7), 16, 10).cast("bigint")
+    mins = [F.min((F.col("__h") * F.lit(a) + F.lit(b)) % F.lit(PRIME)).alias(f"h{i}") for i, (a, b) in enumerate(permutations(num_perm))]
+    out = sets.select(by, h.alias("__h")).groupBy(by).agg(F.count(F.lit(1)).alias("size"), *mins)
     return out.select(by, F.array(*[f"h{i}" for i in range(num_perm)]).alias("signature"), "size")
 
 
@@ -96,7 +105,7 @@ def best_bands(threshold: float, num_perm: int, fp_weight: float = 0.5, fn_weigh
 
 def bands(signatures: DataFrame, b: int, r: int, by: str = "set_id") -> DataFrame:
     """(set_id, band, bucket): the hash of each band of a signature."""
-    cells = [F.struct(F.lit(i).alias("band"), F.md5(F.concat_ws("|", F.slice("signature", i * r + 1, r).cast("array<string>"))).alias("bucket")) for i in range(b)]
+    cells = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("signature", i * r + 1, r)).alias("bucket")) for i in range(b)]
     return signatures.select(by, F.explode(F.array(*cells)).alias("c")).select(by, "c.*")
 
 

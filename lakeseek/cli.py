@@ -79,7 +79,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         s = index.stats()
         print(f"rows {s.rows}, tables {s.tables}, bytes {s.size_bytes}")
         if args.tables:
-            index.indexed_tables().orderBy("table_index").show(1000, truncate=False)
+            for r in index.indexed_tables().orderBy("table_index").toLocalIterator():
+                print(f"{r['table_index']} {r['table_name']}: {r['features']} features, {r['keys']} keys")
         return 0
     if args.command == "index":
         if not args.yes and input(f"drop {args.name}? [y/N] ").lower() != "y":

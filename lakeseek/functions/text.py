@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Longest key that is stored.
+#: Longest key that is stored as it is; a longer one is stored as its beginning and a hash of the whole.
 KEY_LENGTH = 335
+_HASH_LENGTH = 64
 #: Feature suffixes in the order in which a column's features stand.
 SUFFIXES = ("mean", "median", "max", "min", "nunique", "share")
 
@@ -37,6 +38,13 @@ def normalize_key(c: Column, strict: bool = False) -> Column:
     return F.regexp_replace(F.lower(folded) if any(v.isupper() for v in _FOLDED.values()) else folded, "[^a-z0-9]", "")
 
 
+def stored_key(c: Column) -> Column:
+    """The normalised key in at most ``KEY_LENGTH`` characters; different keys stay different."""
+    key = normalize_key(c)
+    short = F.concat(F.substring(key, 1, KEY_LENGTH - _HASH_LENGTH), F.sha2(key, 256))
+    return F.when(F.length(key) > KEY_LENGTH, short).otherwise(key)
+
+
 def normalize_text(s: str) -> str:
     """The same for one string, spelling out compatibility characters."""
     s = unicodedata.normalize("NFKD", s.replace(".0", "").lower()).encode("ascii", "ignore").decode()
@@ -72,13 +80,13 @@ def snake_case(c: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(split, r"[^A-Za-z0-9]+", "_")), F.lit("_"))
 
 
-# English words without content.
-STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with this these those or not".split()
+# Words without content, as they are written in lower case.
+STOP_WORDS = "a the of on in an and is at are as be but by for it no not or such that their there these to was with they will v ve d".split()
 
 
 def clean_text(c: Column) -> Column:
-    """Lower case ASCII words without stop words, one blank between them."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\x00-\x7F]", ""), r"[^a-z0-9_]+", " ")
+    """The ASCII words of a text without stop words, one blank between them; other characters vanish, case stays."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"[^\x00-\x7F]", ""), r"[^A-Za-z0-9]+", " ")
     words = F.filter(F.split(F.trim(plain), " +"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
     return F.array_join(words, " ")
 

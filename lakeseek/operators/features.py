@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.functions.text import KEY_LENGTH, base_column, normalize_key
+from lakeseek.functions.text import base_column, stored_key
 from lakeseek.operators.sequence import number_rows
 from lakeseek.operators.skew import HotGroups
 from lakeseek.sources.shared import materialize
@@ -23,10 +23,6 @@ PROSE = ["desc", "text", "comment", "remark", "note", "memo", "content", "messag
 IDENTIFIERS = ["uuid", "guid", "key", "code", "ref", "hash", "token", "identifier", "unnamed"]
 
 
-def stored_key(c: Column) -> Column:
-    return F.substring(normalize_key(c), 1, KEY_LENGTH)
-
-
 def _median(c: Column, exact: bool) -> Column:
     return F.median(c) if exact else F.percentile_approx(c, 0.5, 10_000).cast("double")
 
@@ -137,7 +133,7 @@ def _column_facts(features: DataFrame, key: str, columns: list[str]) -> dict[str
     A column whose values all lie on one side of their mean, or on it, has equal values throughout, so its ends meet.
     One aggregate serves all columns.
     """
-    hashed = [F.expr(f"bit_xor(xxhash64(`{key}`, round(`{c}`, 9)))").alias(f"h{i}") for i, c in enumerate(columns)]
+    hashed = [F.expr(f"bit_xor(xxhash64(`{key}`, `{c}`))").alias(f"h{i}") for i, c in enumerate(columns)]
     ends = [(F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]
     row = features.agg(*hashed, *ends).first() if columns else {}
     return {c: (row[f"h{i}"], row[f"c{i}"] is not False) for i, c in enumerate(columns)}

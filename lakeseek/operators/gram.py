@@ -66,12 +66,14 @@ def _partials(width: int, columns: list[str]):
         for b in batches:
             if not b.num_rows:
                 continue
-            labels = b.column(0).to_pylist()
+            codes = b.column(0).dictionary_encode()
+            of = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            named = [*enumerate(codes.dictionary.to_pylist()), *([(-1, None)] if codes.null_count else [])]
             w = b.column(1).to_numpy(zero_copy_only=False)
             # sums of x and y are per key already: row = (n, s_1.., y) against z with weight n
             m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]])
-            for label in dict.fromkeys(labels):
-                at = np.array([x == label for x in labels])
+            for code, label in named:
+                at = of == code
                 rows = np.column_stack([np.ones(at.sum()), m[at]])
                 part = (rows * w[at, None]).T @ rows
                 total[label] = total.get(label, 0) + part

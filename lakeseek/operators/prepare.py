@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.functions.text import normalize_key
+from lakeseek.functions.text import stored_key
 from lakeseek.operators.gram import blocked_gram
 from lakeseek.operators.materialize import bin_edges, bin_index
 from lakeseek.operators.sampling import unit_hash
@@ -76,8 +76,8 @@ def prepare_query_table(df: DataFrame, key: str, target: str, order: str, featur
             edges = bin_edges(out, c, n_bins)
             at = bin_index(F.col(c), edges)
             binned += [(at == i).cast("double").alias(f"{c}_{i}") for i in range(1, len(edges) + 1)]
-        return out.select(normalize_key(F.col(key)).alias(key), *binned, target)
-    return out.select(normalize_key(F.col(key)).alias(key), *kept, target)
+        return out.select(stored_key(F.col(key)).alias(key), *binned, target)
+    return out.select(stored_key(F.col(key)).alias(key), *kept, target)
 
 
 def clean_augmented(df: DataFrame, columns: list[str], rounds: int = 1) -> DataFrame:

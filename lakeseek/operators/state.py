@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.operators.features import stored_key
+from lakeseek.functions.text import stored_key
 
 
 def numeric_state(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -5,19 +5,21 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeseek.operators import hops
 from lakeseek.operators import materialize as mat
 from lakeseek.operators import retrieval as ret
 from lakeseek.operators.gram import joined_gram
 from lakeseek.plans import select
 from lakeseek.plans.config import DiscoveryConfig
-from lakeseek.plans.errors import DiscoveryError, EmptyAugmentation, KeyNotFoundError, UserTableHasDuplicates, UserTableNotProcessed
+from lakeseek.plans.errors import EmptyAugmentation, KeyNotFoundError, UserTableHasDuplicates, UserTableNotProcessed
 from lakeseek.plans.planner import PlanStep, execute
 from lakeseek.sources.shared import materialize
 
@@ -27,8 +29,8 @@ DEFAULTS = {
     "classification": {"model": "ClassificationCholesky", "metric": "conditional_mahalanobis", "tol": 0.05, "threshold": 0.3},
     "regression": {"model": "RegressionCholesky", "metric": "conditional_gcv", "tol": 0.05, "threshold": 0.1},
 }
-#: Most candidate columns whose full Gram matrix is collected (doubles: 5,000 are 200 MB).
-MAX_CANDIDATES = 5_000
+#: Most columns of one Gram matrix in a forward selection (doubles: 5,000 are 200 MB); more candidates are scored in blocks.
+MAX_COLUMNS = 5_000
 
 
 @dataclass
@@ -86,7 +88,8 @@ def l1_classes(query: DataFrame, key: str, target: str, base: list[str], wide: D
 class Augmenter:
     """Finds joinable tables, prunes, scores from statistics, selects greedily, joins the winners once.
 
-    ``threshold=None`` turns pruning off; ``...`` stands for the task's default.
+    ``threshold=None`` turns pruning off; ``...`` stands for the task's default. With ``max_hops`` above 1 and the ``bridges``
+    of the lake (keys that stand in one source row), tables that are reached through others are candidates as well.
     """
 
     features: DataFrame
@@ -103,13 +106,20 @@ class Augmenter:
     trajectory: str | None = None
     history: str | None = None
     params: dict[str, Any] = field(default_factory=dict)
+    model: str | None = None
+    max_hops: int = 1
+    bridges: DataFrame | None = None
+    reach: float = 0.5
 
     def __post_init__(self) -> None:
         if self.task not in DEFAULTS:
             raise ValueError(f"task {self.task!r} is none of {sorted(DEFAULTS)}")
         d = DEFAULTS[self.task]
         self.metric, self.tol = self.metric or d["metric"], float(self.tol if self.tol is not None else d["tol"])
+        self.model = self.model or d["model"]
         self.threshold = d["threshold"] if self.threshold is ... else self.threshold
+        if self.max_hops > 1 and self.bridges is None:
+            raise ValueError("more than one hop needs the bridges of the lake")
 
     def config(self) -> DiscoveryConfig:
         if self.strategy == "LassoFeatureSelector":
@@ -118,10 +128,23 @@ class Augmenter:
             return DiscoveryConfig(self.task, "passthrough", self.strategy, model, self.params)
         ranking = "passthrough" if self.strategy in ("ForwardSelection", "IncrementalSelection") else "correlation" if self.task == "regression" else "eta"
         params = {"metric": self.metric, "tol": self.tol} | ({"table_batch_size": 1} if self.strategy == "IncrementalSelection" else {}) | self.params
-        return DiscoveryConfig(self.task, ranking, self.strategy, DEFAULTS[self.task]["model"], params)
+        return DiscoveryConfig(self.task, ranking, self.strategy, self.model, params)
 
     # -- steps ------------------------------------------------------------------------------------------------------
 
+    def reachable_features(self, query: DataFrame, key: str) -> DataFrame:
+        """The features of the lake; those of tables reached over further joins in terms of the query's keys, as means."""
+        if self.max_hops == 1:
+            return self.features
+        reached = hops.join_graph(self.bridges, ret.lake_keys(self.features), query, key, self.reach, self.max_hops)
+        far = reached.where("hop > 1").select(*ret.PAIR, "key", "root")
+        near = self.features.join(far.select(*ret.PAIR).distinct(), ret.PAIR, "left_anti")
+        return materialize(near.unionByName(hops.root_features(self.features, far), allowMissingColumns=True), "reachable")
+
+    def _over_hops(self, query: DataFrame, key: str) -> Augmenter:
+        """This augmenter on the features that the query reaches; then one join brings any of them."""
+        return self if self.max_hops == 1 else replace(self, features=self.reachable_features(query, key), max_hops=1)
+
     def _hits(self, query: DataFrame, key: str) -> DataFrame:
         excluded = ret.resolve_tables(self.features.select("table_index", "table_name").distinct(), self.exclude_tables) if self.exclude_tables else None
         hits = ret.overlap_topk(ret.lake_keys(self.features), query, self.top_k, key, excluded)
@@ -138,13 +161,15 @@ class Augmenter:
         scores = ret.side_scores(whole, query, key, target, self.prune_mode) if self.task == "regression" else ret.eta_squared(got, query, key, target)
         return materialize(ret.prune(got, scores, self.threshold), "fetched")
 
-    def _candidates(self, fetched: DataFrame) -> tuple:
-        """What is known of each candidate, and a row a key with all their columns: values, powers, bin indicators."""
+    def _known(self, fetched: DataFrame) -> list:
+        """What is known of each candidate feature."""
         known = fetched.groupBy("table_index", "key_col_index", "table_name", "feature", "base_col").agg(F.count(F.lit(1)).alias("n")).orderBy("table_index", "key_col_index", "feature").collect()
         if not known:
             raise EmptyAugmentation("no feature survived pruning")
-        if len(known) > MAX_CANDIDATES:
-            raise DiscoveryError(f"{len(known)} candidates; prune harder or lower top_k (at most {MAX_CANDIDATES})")
+        return known
+
+    def _candidates(self, fetched: DataFrame, known: list) -> tuple:
+        """A row a key with all columns of the candidates: values, powers, bin indicators."""
         ids = [(r["table_index"], r["key_col_index"], r["feature"]) for r in known]
         wide = mat.pivot_features(fetched, ids, [f"z{i}" for i in range(len(ids))])
         columns, names = [[f"z{i}"] for i in range(len(ids))], [f"z{i}" for i in range(len(ids))]
@@ -159,7 +184,7 @@ class Augmenter:
             at = mat.bin_index(F.col(f"z{i}"), e)
             wide = wide.withColumns({n: (at == j).cast("double") for j, n in enumerate(bins[i], 1)})
             names += bins[i]
-        return known, ids, columns, names, wide, edges, bins
+        return ids, columns, names, wide, edges, bins
 
     def _scored(self, query: DataFrame, key: str, target: str, base: list[str], known: list, columns: list[list[str]], names: list[str], wide: DataFrame, bins: dict[int, list[str]]) -> tuple:
         """The one Gram matrix of a search, and the candidates as its columns."""
@@ -174,15 +199,21 @@ class Augmenter:
     def explain(self, query: DataFrame, key: str, target: str) -> DataFrame:
         """(table_name, feature, score, collinear) of all features that survive pruning, best first; selects nothing."""
         base = check_query(query, key, target)
+        self = self._over_hops(query, key)
         DiscoveryConfig(f"{self.task} explanation", "correlation" if self.task == "regression" else "eta")
         fetched = self._pruned(self._hits(query, key), query, key, target)
-        known, _, columns, names, wide, _, bins = self._candidates(fetched)
+        known = self._known(fetched)
+        _, columns, names, wide, _, bins = self._candidates(fetched, known)
         gram, candidates = self._scored(query, key, target, base, known, columns, names, wide, bins)
         rows = [(known[int(n.partition("=")[0])]["table_name"], known[int(n.partition("=")[0])]["feature"] + ("=dummies" if "=" in n else ""), v, bad) for n, v, bad in select.explanation(gram, candidates)]
         return query.sparkSession.createDataFrame(rows, "table_name string, feature string, score double, collinear boolean")
 
     def _selected(self, fetched: DataFrame, query: DataFrame, key: str, target: str, base: list[str]) -> tuple[list[dict], select.Selection]:
-        known, ids, columns, names, wide, edges, bins = self._candidates(fetched)
+        known = self._known(fetched)
+        width = len(known) * (self._degree() + (self.params["dummify_features"].get("n_bins", 4) - 1 if self.params.get("dummify_features", {}).get("enabled") else 0))
+        if self.strategy == "ForwardSelection" and width > MAX_COLUMNS:
+            return self._forward_in_blocks(fetched, known, width, query, key, target, base)
+        ids, columns, names, wide, edges, bins = self._candidates(fetched, known)
         label = target if self.task == "classification" else None
         if label and self.strategy == "LassoFeatureSelector":
             got = l1_classes(query, key, target, base, wide, names, self.params["alphas"], self.params["cv"])
@@ -193,20 +224,63 @@ class Augmenter:
         budget = select.Budget(self.budget_seconds)
         if self.strategy == "BackwardElimination":
             candidates = select.rank_by_separation(gram, candidates) if label else select.rank_by_correlation(gram, candidates)
-            out = select.backward(gram, candidates, self.metric, self.tol, budget=budget)
+            out = select.backward(gram, candidates, self.metric, self.tol, budget=budget, model=self.model)
         elif self.strategy == "IncrementalSelection":
-            out = select.incremental(gram, candidates, self.metric, self.tol, self.params.get("table_batch_size", 1), budget)
+            out = select.incremental(gram, candidates, self.metric, self.tol, self.params.get("table_batch_size", 1), budget, self.model)
         elif self.strategy == "LassoFeatureSelector":
             out = select.lasso_selection(gram, candidates, self.params["alphas"])
         else:
-            out = select.forward(gram, candidates, self.metric, self.tol, budget, select.Trajectory(self.trajectory))
+            out = select.forward(gram, candidates, self.metric, self.tol, budget, select.Trajectory(self.trajectory), model=self.model)
+        return self._plan(out, known, edges), out
+
+    def _plan(self, out: select.Selection, known: list, edges: dict[int, list[float]]) -> list[dict]:
         if self.history:
             select.write_history(out, self.history)
         plan = []
         for c, score in zip(out.accepted, [*out.scores, *[None] * len(out.accepted)], strict=False):
             i, _, dummies = c.name.partition("=")
             plan.append(known[int(i)].asDict() | {"score": score, "edges": edges[int(i)] if dummies else None})
-        return plan, out
+        return plan
+
+    def _forward_in_blocks(self, fetched: DataFrame, known: list, width: int, query: DataFrame, key: str, target: str, base: list[str]) -> tuple[list[dict], select.Selection]:
+        """Forward selection over more columns than one matrix may have: at every step one Gram matrix for each block of
+        candidates beside the base columns and the chosen ones. The result is that of one matrix.
+        """
+        each = max(1, MAX_COLUMNS * len(known) // width)
+        blocks = [range(at, min(at + each, len(known))) for at in range(0, len(known), each)]
+        edges: dict[int, list[float]] = {}
+
+        def of(places: list[int]) -> tuple:
+            """The Gram matrix of these candidates, and its columns by name of the candidate."""
+            part = [known[i] for i in places]
+            _, columns, names, wide, some, bins = self._candidates(fetched, part)
+            edges.update({places[i]: e for i, e in some.items()})
+            gram, got = self._scored(query, key, target, base, part, columns, names, wide, bins)
+            full = lambda n: f"{places[int(n.partition('=')[0])]}{''.join(n.partition('=')[1:])}"
+            return gram, {full(c.name): c.columns for c in got}
+
+        gram, first = of([*blocks[0]])
+        s = select.scorer(gram, self.metric, self.model)
+        base_score = s.of([*range(len(base))]) if self.task == "regression" else None
+        family = [(r["table_index"], r["key_col_index"], r["base_col"]) for r in known]
+        pool = [select.Candidate(n, (), family[int(n.partition("=")[0])]) for n in first]
+        for b in blocks[1:]:
+            pool += [select.Candidate(n, (), family[int(n.partition("=")[0])]) for n in of([*b])[1]]
+        pool.sort(key=lambda c: ("=" in c.name, int(c.name.partition("=")[0])))
+
+        def score(chosen: list[select.Candidate], pool: list[select.Candidate]) -> np.ndarray:
+            have = sorted({int(c.name.partition("=")[0]) for c in chosen})
+            out: dict[str, float] = {}
+            for b in blocks:
+                asked = [c.name for c in pool if int(c.name.partition("=")[0]) in b]
+                if asked:
+                    gram, columns = of([*have, *(i for i in b if i not in have)])
+                    taken = [*range(len(base)), *(i for c in chosen for i in columns[c.name])]
+                    out |= dict(zip(asked, select.scorer(gram, self.metric, self.model).score(taken, [list(columns[n]) for n in asked]), strict=True))
+            return np.array([out[c.name] for c in pool])
+
+        out = select.greedy(score, pool, base_score, self.tol, select.Budget(self.budget_seconds), select.Trajectory(self.trajectory))
+        return self._plan(out, known, edges), out
 
     def _degree(self) -> int:
         p = self.params.get("polynomial_features", {})
@@ -242,6 +316,7 @@ class Augmenter:
         try:
             base = check_query(query, key, target)
             self.config()
+            self = self._over_hops(query, key)
             steps = [
                 PlanStep("find_joinable_tables", lambda: self._hits(query, key)),
                 PlanStep("prune_features", lambda hits: self._pruned(hits, query, key, target), ("find_joinable_tables",)),

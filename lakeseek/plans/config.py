@@ -121,9 +121,8 @@ class EngineConfig:
     """Where indexes lie. An argument goes before LAKESEEK_ROOT, that before a JSON file, that before the default."""
 
     root: str = "lakeseek-index"
-    password: str | None = field(default=None, repr=False)
 
     @staticmethod
     def resolve(root: str | None = None, file: str | None = None) -> EngineConfig:
         stored: dict[str, Any] = json.loads(Path(file).read_text()) if file and Path(file).exists() else {}
-        return EngineConfig(root or os.environ.get("LAKESEEK_ROOT") or stored.get("root") or EngineConfig.root, os.environ.get("LAKESEEK_PASSWORD") or stored.get("password"))
+        return EngineConfig(root or os.environ.get("LAKESEEK_ROOT") or stored.get("root") or EngineConfig.root)

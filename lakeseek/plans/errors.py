@@ -29,6 +29,10 @@ class LinAlgError(DiscoveryError):
     """A system of equations is singular."""
 
 
+class TableLocked(DiscoveryError):
+    """Another update of the table is under way."""
+
+
 class EmptyAugmentation(DiscoveryError):
     """Nothing was selected."""
 

@@ -1,13 +1,19 @@
 """The index of a lake on disk: features in long form, mergeable state, metadata; all partitioned by table.
 
 Sections of one table are replaced by dynamic partition overwrite: readers see the old or the new files of a partition,
-and a failed job leaves the old ones. One writer at a time.
+and a failed job leaves the old ones. An update writes all its sections aside, with its id, and publishes them by one rename;
+from then on it is only carried over, which may be done again by whoever comes next. A lock keeps other updates of
+the table away.
 """
 
 from __future__ import annotations
 
 import logging
+import time
+import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +24,12 @@ from lakeseek.operators import state
 from lakeseek.operators.retrieval import PAIR, resolve_tables
 from lakeseek.operators.union import UnionPeer, find_union_peer, seek_categories, seek_keys, stacked_values
 from lakeseek.plans.config import EngineConfig
+from lakeseek.plans.errors import TableLocked
 from lakeseek.sources.lake import TableSource, resolve_sources, split_types, too_wide, with_clean_names
+from lakeseek.sources.shared import children, delete, exists, publish
 
+#: Age from which a lock counts as left behind.
+LOCK_SECONDS = 6 * 3600
 log = logging.getLogger(__name__)
 FEATURES = "table_index int, table_name string, key_col_index int, key_col string, key string, feature_pos int, feature string, base_col string, value double"
 NUMERIC = "table_index int, key_col_index int, key string, col_name string, count_ bigint, sum_ double, min_ double, max_ double, values_ array<double>"
@@ -160,15 +170,69 @@ class LakeIndex:
     def catalog(self) -> DataFrame:
         return self.read("meta").select("table_index", "table_name")
 
-    def update_table(self, name: str, rows: DataFrame) -> bool:
+    @contextmanager
+    def _locked(self, table: int) -> Iterator[None]:
+        """Keeps other updates of the table away; a lock older than ``LOCK_SECONDS`` was left by a process that died."""
+        lock = self._at(f"locks/{table}")
+        for _ in range(2):
+            staged = self._at(f"staged/{uuid.uuid4().hex}")
+            fs, p = self._fs(staged)
+            fs.mkdirs(p)
+            if publish(self.spark, staged, lock):
+                break
+            fs, p = self._fs(lock)
+            if time.time() - fs.getFileStatus(p).getModificationTime() / 1000 < LOCK_SECONDS:
+                raise TableLocked(f"table {table} of {self.name} is being updated")
+            fs.delete(p, True)
+        else:
+            raise TableLocked(f"table {table} of {self.name} is being updated")
+        try:
+            yield
+        finally:
+            delete(self.spark, lock)
+
+    def _carry_over(self, table: int) -> None:
+        """Finish a published update: replace the table's partitions by its sections, then note its id."""
+        at = self._at(f"pending/{table}")
+        if not exists(self.spark, at):
+            return
+        for kind in KINDS:
+            if exists(self.spark, f"{at}/{kind}"):
+                self._write(kind, self.spark.read.schema(KINDS[kind]).parquet(f"{at}/{kind}"))
+        for delta in children(self.spark, f"{at}/delta"):
+            fs, p = self._fs(self._at(f"applied/{table}/{delta}"))
+            fs.mkdirs(p)
+        delete(self.spark, at)
+
+    def update_table(self, name: str, rows: DataFrame, delta: str | None = None) -> bool:
         """Add rows to a table: merge their state, derive the features again, replace the table's partitions.
 
-        False if the table is unknown (or has no state) or there are no rows. Unknown columns are dropped with a warning.
+        ``delta``: an id of these rows; a second update with it has no effect, so a run that died can be repeated. False if the
+        table is unknown (or has no state) or there are no rows. Unknown columns are dropped with a warning. Raises
+        ``TableLocked`` while another update of the table is under way.
         """
         found = resolve_tables(self.catalog(), [name])
+        if len(found) != 1:
+            return False
+        with self._locked(found[0]):
+            self._carry_over(found[0])
+            if delta and exists(self.spark, self._at(f"applied/{found[0]}/{delta}")):
+                return True
+            staged = self._at(f"staged/{uuid.uuid4().hex}")
+            if not self._stage_update(found, name, rows, staged):
+                delete(self.spark, staged)
+                return False
+            fs, p = self._fs(f"{staged}/delta/{delta or uuid.uuid4().hex}")
+            fs.mkdirs(p)
+            publish(self.spark, staged, self._at(f"pending/{found[0]}"))
+            self._carry_over(found[0])
+        return True
+
+    def _stage_update(self, found: list[int], name: str, rows: DataFrame, staged: str) -> bool:
+        """Write the table's sections as they are with the new rows under ``staged``."""
         rows, _, _ = split_types(with_clean_names(rows))
         n = rows.count()
-        if len(found) != 1 or not n:
+        if not n:
             return False
         meta = self.read("meta").where(F.col("table_index") == found[0]).first()
         known = {*meta["numeric_cols"], *meta["cat_cols"], *meta["key_columns"]}
@@ -179,9 +243,11 @@ class LakeIndex:
         delta = self._state(rows, found[0], meta["key_columns"], meta["numeric_cols"], meta["cat_cols"])
         by = {"num_state": ["table_index", "key_col_index", "key", "col_name"], "cat_state": ["table_index", "key_col_index", "key", "col_name", "category"]}
         merge = {"num_state": state.merge_numeric, "cat_state": state.merge_text}
-        from lakeseek.sources.shared import materialize
-
-        merged = {k: materialize(merge[k]([self.read(k).where(F.col("table_index") == found[0]), d], by[k]), k) if d is not None else None for k, d in delta.items()}
+        merged = {}
+        for kind, d in delta.items():
+            if d is not None:
+                merge[kind]([self.read(kind).where(F.col("table_index") == found[0]), d], by[kind]).write.parquet(f"{staged}/{kind}")
+            merged[kind] = None if d is None else self.spark.read.schema(KINDS[kind]).parquet(f"{staged}/{kind}")
         if all(d is None for d in merged.values()):
             return False
         parts = None
@@ -193,10 +259,9 @@ class LakeIndex:
                 continue
             long = state.derive(numeric, text).select(F.lit(found[0]).alias("table_index"), F.lit(meta["table_name"]).alias("table_name"), F.lit(at).alias("key_col_index"), F.lit(key_col).alias("key_col"), "key", F.lit(0).alias("feature_pos"), "feature", feat.base_column(F.col("feature")).alias("base_col"), "value")
             parts = long if parts is None else parts.unionByName(long)
-        self._write_state(found[0], merged)
-        self._write("features", parts)
+        parts.write.parquet(f"{staged}/features")
         stamped = self.spark.createDataFrame([(*[meta[c] for c in ("table_index", "table_name", "numeric_cols", "cat_cols", "key_columns", "useful_columns")], meta["n_rows"] + n)], META.replace(", last_updated timestamp", ""))
-        self._write("meta", stamped.withColumn("last_updated", F.current_timestamp()))
+        stamped.withColumn("last_updated", F.current_timestamp()).write.parquet(f"{staged}/meta")
         return True
 
     def update_lake(self, path: str) -> dict[str, bool]:

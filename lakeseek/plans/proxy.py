@@ -30,17 +30,14 @@ def least_squares(g: np.ndarray, c: np.ndarray, method: str = "cholesky") -> np.
 
 def collinear(g: np.ndarray, tolerance: float = 1e-4) -> list[int]:
     """Columns that depend on those before them: the triangular factor's diagonal falls below ``tolerance`` of its largest."""
-    kept: list[int] = []
     out: list[int] = []
     top = np.sqrt(max(np.max(np.diag(g)), 0)) if len(g) else 0.0
+    left = np.array(g, float)  # what the columns kept so far leave of the others
     for j in range(len(g)):
-        rest = g[j, j]
-        if kept:
-            rest -= g[j, kept] @ np.linalg.lstsq(g[np.ix_(kept, kept)], g[kept, j], rcond=None)[0]
-        if not np.isfinite(rest) or np.sqrt(max(rest, 0)) <= tolerance * top:
+        if not np.isfinite(left[j, j]) or np.sqrt(max(left[j, j], 0)) <= tolerance * top:
             out.append(j)
         else:
-            kept.append(j)
+            left[j + 1 :, j + 1 :] -= np.outer(left[j + 1 :, j], left[j, j + 1 :] / left[j, j])
     return out
 
 
@@ -63,6 +60,8 @@ def lasso(g: np.ndarray, c: np.ndarray, lam: float, free: int = 0, steps: int =
 class RegressionScorer:
     """Scores of base and selected columns plus each group of candidates, for a numeric target (the last column)."""
 
+    method = "cholesky"
+
     def __init__(self, gram: Gram, metric: str = "conditional_gcv", ridge: float = RIDGE):
         if metric not in REGRESSION_METRICS:
             raise ValueError(f"metric {metric!r} is none of {REGRESSION_METRICS}")
@@ -88,17 +87,23 @@ class RegressionScorer:
             r2 = 1 - rss / self.yy if self.yy > 0 else np.zeros_like(rss)
             return r2 if self.metric == "r2" else np.where(p < n - 1, 1 - (1 - r2) * (n - 1) / (n - p - 1), -np.inf)
 
+    def _solve(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        try:
+            return least_squares(a, b, self.method)
+        except np.linalg.LinAlgError:  # base columns that depend on each other: any of their solutions will do
+            return np.linalg.lstsq(a, b, rcond=None)[0]
+
     def score(self, have: list[int], groups: list[list[int]]) -> np.ndarray:
         """One score for each group added to ``have``; a group that makes the system singular gets minus infinity."""
         lam = self.ridge if self.metric == "conditional_gcv" else 0.0
         a = self.g[np.ix_(have, have)] + lam * np.eye(len(have))
-        inv_c = np.linalg.solve(a, self.c[have]) if have else np.zeros(0)
+        inv_c = self._solve(a, self.c[have]) if have else np.zeros(0)
         rss = self.yy - self.c[have] @ inv_c
         single = np.array([k for k, s in enumerate(groups) if len(s) == 1], int)
         out = np.full(len(groups), -np.inf)
         if len(single):
             z = np.array([groups[k][0] for k in single])
-            cross = np.linalg.solve(a, self.g[np.ix_(have, z)]) if have else np.zeros((0, len(z)))
+            cross = self._solve(a, self.g[np.ix_(have, z)]) if have else np.zeros((0, len(z)))
             own = np.diag(self.g)[z]
             rest = own - np.sum(self.g[np.ix_(have, z)] * cross, axis=0) + lam
             c = self.c[z] - self.c[have] @ cross
@@ -116,11 +121,62 @@ class RegressionScorer:
         g = self.g[np.ix_(columns, columns)] + lam * np.eye(len(columns))
         if columns and np.linalg.cond(g) > 1 / np.finfo(float).eps:
             return float("-inf")
-        rss = self.yy - self.c[columns] @ np.linalg.solve(g, self.c[columns]) if columns else self.yy
+        try:
+            rss = self.yy - self.c[columns] @ least_squares(g, self.c[columns], self.method) if columns else self.yy
+        except np.linalg.LinAlgError:
+            return float("-inf")
         return float(self._value(np.array([rss]), np.array([len(columns)]))[0])
 
     def coefficients(self, columns: list[int]) -> np.ndarray:
-        return least_squares(self.g[np.ix_(columns, columns)] + 1e-12 * np.eye(len(columns)), self.c[columns])
+        return least_squares(self.g[np.ix_(columns, columns)] + 1e-12 * np.eye(len(columns)), self.c[columns], self.method)
+
+
+class QRScorer(RegressionScorer):
+    """The same by QR decomposition of the normal equations, which bears worse conditions than Cholesky's."""
+
+    method = "qr"
+
+
+class IncrementalScorer(RegressionScorer):
+    """The same by Gram-Schmidt on the Gram matrix: each selected column is swept out once, and a step only reads what is left.
+
+    A step costs one pass over the matrix for each new column, however many columns are selected already.
+    """
+
+    def __init__(self, gram: Gram, metric: str = "conditional_gcv", ridge: float = RIDGE):
+        super().__init__(gram, metric, ridge)
+        self._restart()
+
+    def _restart(self) -> None:
+        self._swept: list[int] = []
+        lam = self.ridge if self.metric == "conditional_gcv" else 0.0
+        self._left, self._c, self._rss = self.g + lam * np.eye(len(self.g)), self.c.copy(), float(self.yy)
+        self._own = np.diag(self._left).copy()
+
+    def score(self, have: list[int], groups: list[list[int]]) -> np.ndarray:
+        if self._swept != have[: len(self._swept)]:
+            self._restart()
+        for j in have[len(self._swept) :]:
+            pivot = self._left[j, j]
+            if pivot > 1e-10 * max(self._own[j], 1):
+                row = self._left[j].copy()
+                self._rss -= self._c[j] ** 2 / pivot
+                self._c = self._c - row * (self._c[j] / pivot)
+                self._left = self._left - np.outer(row, row / pivot)
+            self._swept.append(j)
+        out = np.full(len(groups), -np.inf)
+        lam = self.ridge if self.metric == "conditional_gcv" else 0.0
+        for k, s in enumerate(groups):
+            if len(s) != 1:
+                out[k] = self.of([*have, *s])
+        single = np.array([k for k, s in enumerate(groups) if len(s) == 1], int)
+        if len(single):
+            z = np.array([groups[k][0] for k in single])
+            rest, own = np.diag(self._left)[z], np.diag(self.g)[z]
+            fine = (rest > np.maximum(1e-10 * np.maximum(own, 1), lam * 0.5)) & (own > 0)
+            value = self._value(self._rss - self._c[z] ** 2 / np.where(fine, rest, 1), np.full(len(z), len(have) + 1))
+            out[single] = np.where(fine, value, -np.inf)
+        return out
 
 
 class ClassScorer:
@@ -217,6 +273,12 @@ class ClassScorer:
         return float(1 - risk / weights) if weights else 0.0
 
 
-def scorer(gram: Gram, metric: str):
-    """The scorer of a metric."""
+def scorer(gram: Gram, metric: str, model: str | None = None):
+    """The scorer of a metric, by the named model of the registry if there is one for it."""
+    if model:
+        from lakeseek.plans.registry import models
+
+        found = models.resolve(model)
+        if isinstance(found, type) and issubclass(found, RegressionScorer if metric in REGRESSION_METRICS else ClassScorer):
+            return found(gram, metric)
     return RegressionScorer(gram, metric) if metric in REGRESSION_METRICS else ClassScorer(gram, metric)

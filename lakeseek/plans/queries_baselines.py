@@ -9,6 +9,7 @@ from lakeseek.baselines import augmenters, cells, set_search, statistics
 from lakeseek.plans.catalogue import Catalogue, read
 from lakeseek.plans.queries_discovery import _LAKE, customers, lake
 from lakeseek.plans.queries_features import rounded
+from lakeseek.sources.shared import materialize, scratch
 
 query = Catalogue()
 PERMS = 16
@@ -31,18 +32,10 @@ def lake_sets(spark: SparkSession, d: str) -> DataFrame:
     return df.where(set_search.is_token(F.col("token"))).distinct()
 
 
-@query(f"with s as ({_LAKE_SETS}), q as (select distinct trim(key) as token from overlap_table where table_index = (select min(table_index) from overlap_table)) select set_id, count(*) as overlap from s where token in (select token from q where token <> '') group by 1 order by overlap desc, set_id limit 10")
-def exact_set_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    df = read(spark, d, "overlap_table")
-    first = df.agg(F.min("table_index").alias("t"))
-    asked = df.where(F.col("table_index") == first.scalar()).select(F.trim("key").alias("token"))
-    return set_search.exact_topk(lake_sets(spark, d), asked, 10)
-
-
 @query(f"""with s as ({_LAKE_SETS}), q as (select distinct table_index as query_id, trim(key) as token from overlap_table where table_index % 100 = 0)
     select query_id, set_id, count(*) as overlap from q join s using (token) group by 1, 2 qualify row_number() over (partition by query_id order by count(*) desc, set_id) <= 10""")
-def exact_set_overlap_topk_many(spark: SparkSession, d: str) -> DataFrame:
-    """``exact_set_overlap_topk`` for every table whose index is divisible by 100, in place of the first table only."""
+def exact_set_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
+    """For every table whose index is divisible by 100 the key columns that share most tokens with its keys."""
     asked = read(spark, d, "overlap_table").where(F.col("table_index") % 100 == 0).select(F.col("table_index").alias("query_id"), F.trim("key").alias("token"))
     return set_search.exact_topk_many(lake_sets(spark, d), asked, 10)
 
@@ -57,8 +50,7 @@ def posting_groups(spark: SparkSession, d: str) -> DataFrame:
     return set_search.posting_groups(column_sets(spark, d)).select("frequency", "sets", "tokens")
 
 
-_HASH = "('0x' || substr(md5('{i}|' || token), 1, 8))::bigint"
-_SIGNED = f"select set_id, [{', '.join(f'min({_HASH.format(i=i)})' for i in range(PERMS))}] as signature, count(*) as size from s group by 1"
+_SIGNED = f"select set_id, [{', '.join(f'min((h * {a} + {b}) % {set_search.PRIME})' for a, b in set_search.permutations(PERMS))}] as signature, count(*) as size from (select set_id, ('0x' || substr(md5(token), 1, 7))::bigint as h from s) group by 1"
 
 
 @query(f"with s as ({_SETS}) {_SIGNED}")
@@ -68,45 +60,31 @@ def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with s as ({_LAKE_SETS}), sg as ({_SIGNED}), b as (select set_id, i as band, signature[i * 2 + 1:i * 2 + 2] as bucket from sg, range(8) t(i)) select distinct x.set_id as query_id, y.set_id from b x join b y on x.band = y.band and x.bucket = y.bucket and x.set_id <> y.set_id")
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
-    signed = set_search.minhash(lake_sets(spark, d), PERMS)
+    signed = materialize(set_search.minhash(lake_sets(spark, d), PERMS), "signed")
     return set_search.band_candidates(signed, signed, 8, 2)
 
 
-@query(f"""with s as ({_LAKE_SETS}), q as (select * from s where set_id in (select min(set_id) from s)), n as (select set_id as query_id, count(*) as n from q group by 1),
-    c as (select q.set_id as query_id, s.set_id, count(*) as shared from q join s using (token) where q.set_id <> s.set_id group by 1, 2)
-    select query_id, set_id, shared, round(shared / n, 6) as containment from c join n using (query_id) where shared / n >= 0.1 qualify row_number() over (partition by query_id order by shared / n desc, set_id) <= 20""")
-def containment_join_paths(spark: SparkSession, d: str) -> DataFrame:
-    sets = lake_sets(spark, d)
-    return rounded(set_search.containment_paths(sets, [sets.agg(F.min("set_id")).first()[0]]))
-
-
 @query(f"""with s as ({_LAKE_SETS}), q as (select * from s where split_part(set_id, '.', 1)::bigint % 100 = 0), n as (select set_id as query_id, count(*) as n from q group by 1),
     c as (select q.set_id as query_id, s.set_id, count(*) as shared from q join s using (token) where q.set_id <> s.set_id group by 1, 2)
     select query_id, set_id, shared, round(shared / n, 6) as containment from c join n using (query_id) where shared / n >= 0.1 qualify row_number() over (partition by query_id order by shared / n desc, set_id) <= 20""")
-def containment_join_paths_many(spark: SparkSession, d: str) -> DataFrame:
-    """``containment_join_paths`` for every set of a table whose index is divisible by 100, in place of the first set only."""
+def containment_join_paths(spark: SparkSession, d: str) -> DataFrame:
+    """For every set of a table whose index is divisible by 100 the sets that hold most of it."""
     asked = F.substring_index("set_id", ".", 1).cast("bigint") % 100 == 0
     return rounded(set_search.containment_paths(lake_sets(spark, d), asked))
 
 
-@query()
+@query(f"""with s as ({_LAKE_SETS}), n as (select set_id, count(*) as n from s group by 1),
+    c as (select a.set_id as query_id, b.set_id, count(*) as shared from s a join s b using (token) where a.set_id <> b.set_id group by 1, 2)
+    select query_id, c.set_id, shared, round(shared / n, 6) as containment from c join n on n.set_id = query_id where shared >= ceil(n * 0.8 - 1e-9)""")
 def ensemble_candidates(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of sets of which one holds at least 0.8 of the other, with their exact containment."""
     return rounded(set_search.containing_sets(lake_sets(spark, d), 0.8))
 
 
-@query("""with q as (select embedding as e from embeddings where vec_id = (select min(vec_id) from embeddings))
-    select vec_id, round(list_cosine_similarity(embedding::double[], (select e from q)::double[]), 6) as similarity from embeddings order by list_cosine_similarity(embedding::double[], (select e from q)::double[]) desc, vec_id limit 10""")
-def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
-    vectors = read(spark, d, "embeddings")
-    first = vectors.orderBy("vec_id").first()["embedding"]
-    return rounded(set_search.nearest(vectors, first, 10, "vec_id", "embedding"))
-
-
 @query("""select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings q, embeddings e where q.vec_id % 100 = 0
     qualify row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) <= 10""")
-def embedding_topk_many(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest vectors of every vector whose id is divisible by 100; ``embedding_topk`` asks for the first one only."""
+def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
     vectors = read(spark, d, "embeddings")
     return rounded(set_search.nearest_many(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10, "vec_id", "embedding"))
 
@@ -150,19 +128,11 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return c.unionByName(cells.to_cells(read(spark, d, "orders"), 2, "o_orderkey", ["o_orderstatus", "o_orderpriority"]))
 
 
-@query(f"""with cells as ({_CELLS}), ex as (select distinct c_nationkey::varchar as x, c_mktsegment as y from customer where c_nationkey < 5 and c_mktsegment is not null),
-    h as (select a.table_id, a.col_id as col_x, b.col_id as col_y, ex.x, ex.y from cells a join ex on a.value = ex.x join cells b on b.table_id = a.table_id and b.row_id = a.row_id and b.value = ex.y and b.col_id <> a.col_id)
-    select table_id, col_x, col_y, count(distinct (x, y)) as examples from h group by 1, 2, 3 having count(distinct (x, y)) >= 2""")
-def column_pair_search(spark: SparkSession, d: str) -> DataFrame:
-    examples = read(spark, d, "customer").where(F.col("c_nationkey") < 5).select(F.col("c_nationkey").cast("string").alias("x"), F.col("c_mktsegment").alias("y"))
-    return cells.column_pairs(_cells(spark, d), examples)
-
-
 @query(f"""with cells as ({_CELLS}), ex as (select distinct c_nationkey::varchar as x, c_mktsegment as y from customer where c_nationkey is not null and c_mktsegment is not null),
     h as (select a.table_id, a.col_id as col_x, b.col_id as col_y, ex.x, ex.y from cells a join ex on a.value = ex.x join cells b on b.table_id = a.table_id and b.row_id = a.row_id and b.value = ex.y and b.col_id <> a.col_id)
     select table_id, col_x, col_y, count(distinct (x, y)) as examples from h group by 1, 2, 3 having count(distinct (x, y)) >= 2""")
-def column_pair_search_all(spark: SparkSession, d: str) -> DataFrame:
-    """Column pairs by the (nation, segment) pairs of all customers; ``column_pair_search`` takes those of five nations only."""
+def column_pair_search(spark: SparkSession, d: str) -> DataFrame:
+    """Column pairs by the (nation, segment) pairs of all customers."""
     examples = read(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("x"), F.col("c_mktsegment").alias("y"))
     return cells.column_pairs(_cells(spark, d), examples)
 
@@ -233,9 +203,17 @@ def simple_paths(spark: SparkSession, d: str) -> DataFrame:
     return rounded(paths(edges.where("source <> target"), "0", 3))
 
 
-@query()
+def _information(a: str, b: str) -> str:
+    return f"""(with c as (select {a}::varchar as a, {b}::varchar as b, count(*) as n from documents where {a} is not null and {b} is not null group by 1, 2),
+        j as (select n, sum(n) over (partition by a) as na, sum(n) over (partition by b) as nb, (sum(n) over ())::double as t from c) select sum(n / t * ln(n * t / (na * nb))) from j)"""
+
+
+_FEATURES = ["lang", "kind", "table_index"]
+
+
+@query(" union all ".join(f"select '{f}' as feature, round({_information(f, 'source')}, 6) as relevance, round(({' + '.join(_information(f, g) for g in _FEATURES if g != f)}) / 2, 6) as redundancy, round({_information(f, 'source')} - ({' + '.join(_information(f, g) for g in _FEATURES if g != f)}) / 2, 6) as score" for f in _FEATURES))
 def mrmr_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(statistics.redundancy_scores(read(spark, d, "documents"), ["lang", "kind", "table_index"], "source"))
+    return rounded(statistics.redundancy_scores(read(spark, d, "documents"), _FEATURES, "source"))
 
 
 def _tables(spark: SparkSession, d: str) -> dict:
@@ -267,10 +245,17 @@ def path_search(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(got.plan, "feature string, score double")
 
 
-@query()
+@query(f"""with {_LAKE.replace('lake as (', 'lake as materialized (', 1)}, q as (select c_custkey::varchar as key, c_acctbal as y from customer where c_custkey is not null),
+    r as (select table_index, key_col_index, feature, case when var_pop(value) * count(*) > 1e-12 * sum(value * value) then regr_r2(y, value) end as r2 from q join lake using (key) group by 1, 2, 3),
+    one as (select * from r where r2 is not null and r2 >= 0.001 order by r2 desc, table_index, key_col_index, feature limit 1),
+    z as (select q.key, q.y, coalesce(l.value, avg(l.value) over ()) as z from q left join (select lake.key, lake.value from lake join one using (table_index, key_col_index, feature)) l using (key)),
+    m as (select regr_slope(y, z) as b, regr_intercept(y, z) as a from z), res as (select key, y - a - b * z as e from z, m),
+    r2 as (select table_index, key_col_index, feature, case when var_pop(value) * count(*) > 1e-12 * sum(value * value) then regr_r2(e, value) end as r2 from res join lake using (key) anti join one using (table_index, key_col_index, feature) group by 1, 2, 3),
+    two as (select * from r2 where r2 is not null and r2 >= 0.001 order by r2 desc, table_index, key_col_index, feature limit 1)
+    select feature, round(r2, 6) as r2 from one union all select feature, round(r2, 6) from two""")
 def residual_r2(spark: SparkSession, d: str) -> DataFrame:
     got = augmenters.residual_r2(customers(spark, d), "key", "y", lake(spark, d), rounds=2)
-    return spark.createDataFrame(got.plan, "feature string, r2 double")
+    return rounded(spark.createDataFrame(got.plan, "feature string, r2 double"))
 
 
 @query()
@@ -294,12 +279,9 @@ def profile_search(spark: SparkSession, d: str) -> DataFrame:
     from events where user_id is not null and value is not null group by 1""")
 def stream_append_update(spark: SparkSession, d: str) -> DataFrame:
     """The events read as a stream and merged batch by batch; the state is that of the whole table."""
-    import uuid
-
-    from lakeseek.sources.shared import shared_dir
     from lakeseek.streaming.append import StateStore, append_updates
 
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     store = StateStore(spark, f"{root}/state")
     schema = read(spark, d, "events").schema
     append_updates(spark, f"{d}/events.parquet", schema, "user_id", ["value"], store, f"{root}/checkpoint").awaitTermination()

@@ -10,6 +10,7 @@ from lakeseek.operators import gram, hops, materialize, retrieval, union
 from lakeseek.plans import api, proxy
 from lakeseek.plans.catalogue import Catalogue, read
 from lakeseek.plans.queries_features import numeric_sql, rounded
+from lakeseek.sources import shared
 
 query = Catalogue()
 
@@ -18,12 +19,12 @@ LAKE = [(0, "orders", "o_custkey", ["o_totalprice"]), (1, "supplier", "s_suppkey
 
 
 def lake(spark: SparkSession, d: str) -> DataFrame:
-    """Features of the stand-in lake in long form."""
+    """Features of the stand-in lake in long form, written once, as those of an index are."""
     out = None
     for i, table, key, columns in LAKE:
         long = feat.to_long(feat.numeric_features(read(spark, d, table), key, columns), i, f"{table}.parquet", 0, key)
         out = long if out is None else out.unionByName(long)
-    return out
+    return shared.materialize(out, "lake")
 
 
 def _long_sql() -> str:
@@ -60,24 +61,13 @@ def overlap_topk_excluded(spark: SparkSession, d: str) -> DataFrame:
     return rounded(retrieval.overlap_topk(retrieval.lake_keys(features), customers(spark, d), 3, exclude=out))
 
 
-@query(f"""
-    with {_LAKE}, k as (select distinct table_index, key_col_index, key from overlap_table where key <> ''),
-    q as (select distinct key from k where table_index = (select min(table_index) from k))
-    select k.table_index, k.key_col_index, count(*) as n, round(count(*) / (select count(*) from q), 6) as ratio from k join q using (key) group by 1, 2 order by n desc, 1, 2 limit 20""")
-def overlap_topk_lake(spark: SparkSession, d: str) -> DataFrame:
-    """Key columns of the whole inverted index that share most keys with its first table."""
-    keys = read(spark, d, "overlap_table").where(F.col("key") != "").select("table_index", "key_col_index", "key").distinct()
-    first = keys.agg(F.min("table_index").alias("t"))
-    return rounded(retrieval.overlap_topk(keys, keys.where(F.col("table_index") == first.scalar()).select("key"), 20))
-
-
 @query("""
     with k as (select distinct table_index, key_col_index, key from overlap_table where key <> ''),
     q as (select distinct table_index as query_id, key from k where table_index % 100 = 0), t as (select query_id, count(*) as t from q group by 1),
     h as (select query_id, table_index, key_col_index, count(*) as n from k join q using (key) group by 1, 2, 3)
     select query_id, table_index, key_col_index, n, round(n / t, 6) as ratio from h join t using (query_id) qualify row_number() over (partition by query_id order by n desc, table_index, key_col_index) <= 20""")
-def overlap_topk_lake_many(spark: SparkSession, d: str) -> DataFrame:
-    """``overlap_topk_lake`` for every table whose index is divisible by 100, in place of the first table only."""
+def overlap_topk_lake(spark: SparkSession, d: str) -> DataFrame:
+    """For every table whose index is divisible by 100 the key columns of the inverted index that share most keys with it."""
     keys = read(spark, d, "overlap_table").where(F.col("key") != "").select("table_index", "key_col_index", "key").distinct()
     return rounded(retrieval.overlap_topk_many(keys, keys.where(F.col("table_index") % 100 == 0).select(F.col("table_index").alias("query_id"), "key"), 20))
 
@@ -149,12 +139,14 @@ def small_group_filter(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.small_groups_out(lake(spark, d), 4).groupBy("table_index").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PAD = f"""{_LAKE}, {_CUST}, fs as (select distinct table_index, key_col_index, feature from lake where key in (select key from q)),
-    mean as (select table_index, key_col_index, feature, avg(value) as mean from lake where key in (select key from q) group by 1, 2, 3)"""
+_ONCE = f"{_LAKE}, {_CUST}".replace("lake as (", "lake as materialized (", 1)
 
 
-@query(f"""with {_PAD} select m.table_index, m.key_col_index, m.feature, k.key, round(coalesce(l.value, m.mean), 6) as value
-    from (select distinct key from q) k cross join mean m left join lake l on l.table_index = m.table_index and l.key_col_index = m.key_col_index and l.feature = m.feature and l.key = k.key""")
+@query(f"""with {_ONCE}, asked as materialized (select distinct key from q), met as materialized (select l.* from lake l join asked using (key)),
+    mean as materialized (select table_index, key_col_index, feature, avg(value) as mean from met group by 1, 2, 3),
+    known as (select table_index, key_col_index, feature, key, value from met
+              union all select table_index, key_col_index, feature, key, null from mean, asked)
+    select table_index, key_col_index, feature, key, round(coalesce(max(value), any_value(mean)), 6) as value from known join mean using (table_index, key_col_index, feature) group by 1, 2, 3, 4""")
 def missing_key_padding(spark: SparkSession, d: str) -> DataFrame:
     return rounded(retrieval.pad_missing(lake(spark, d), customers(spark, d)))
 
@@ -236,6 +228,45 @@ def single_feature_fisher(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([("v", round(score, 8))], "feature string, score double")
 
 
+_TWO = f"""{_Z}, c as (select count(*) as n, var_pop(y) as v, corr(y, z1) as a, corr(y, z2) as b, corr(z1, z2) as r from z),
+    t as (select n, v, (a * a + b * b - 2 * a * b * r) / (1 - r * r) as r2 from c)"""
+
+
+@query(f"""with {_TWO}, m as (select unnest(['mse', 'rmse', 'gcv_rmse', 'r2', 'adj_r2']) as metric,
+        unnest([-v * (1 - r2), -sqrt(v * (1 - r2)), -sqrt(v * (1 - r2)) / (1 - 2.0::double / n), r2, 1 - (1 - r2) * (n - 1) / (n - 3)]) as score from t)
+    select model, metric, round(score, 6) as score from m, (select unnest(['RegressionCholesky', 'RegressionQR', 'IncrementalRegressionFGS']) as model)""")
+def regression_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The score of two features together by every metric and model."""
+    g = _joined(spark, d)
+    rows = []
+    for model in ("RegressionCholesky", "RegressionQR", "IncrementalRegressionFGS"):
+        for metric in ("mse", "rmse", "gcv_rmse", "r2", "adj_r2"):
+            # z2 beside z1, neither beside the base column
+            rows.append((model, metric, round(float(proxy.scorer(g, metric, model).score([1], [[2]])[0]), 6)))
+    return spark.createDataFrame(rows, "model string, metric string, score double")
+
+
+@query(f"""with {_Z}, c as (select count(*) as n, var_pop(y) as v, corr(y, z1) as a, corr(y, z2) as b from z)
+    select feature, round(-(v - v * r * r / (1 + 0.001 / n)) / pow(1 - 1.0::double / n, 2), 6) as score from c, (select unnest(['z1', 'z2']) as feature), lateral (select case feature when 'z1' then a else b end as r)""")
+def single_feature_conditional_gcv(spark: SparkSession, d: str) -> DataFrame:
+    s = proxy.RegressionScorer(_joined(spark, d), "conditional_gcv").score([], [[1], [2]])
+    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(("z1", "z2"), s, strict=True)], "feature string, score double")
+
+
+@query("""with q as (select c_mktsegment as c, c_acctbal / 1000 as v from customer where c_mktsegment is not null and c_acctbal is not null),
+    k as (select c, count(*) as n, avg(v) / (select stddev_pop(v) from q) as m, var_pop(v) / (select var_pop(v) from q) as s from q group by 1),
+    w as (select sum((n - 1) * s) / sum(n - 1) as s from k), p as (select a.m - b.m as gap, a.s as sa, b.s as sb from k a join k b on a.c < b.c)
+    select 'average_mahalanobis' as metric, round(sum(gap * gap) / (select s from w), 6) as score from p union all
+    select 'average_bhattacharyya', round(sum(gap * gap / (4 * (sa + sb)) + ln((sa + sb) / (2 * sqrt(sa * sb))) / 2), 6) from p""")
+def class_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """How far the segments lie apart by the balance."""
+    df = read(spark, d, "customer").where(F.col("c_mktsegment").isNotNull() & F.col("c_acctbal").isNotNull()).withColumn("v", F.col("c_acctbal") / 1000)
+    blocks = {k: gram.Gram(["v"], n, s, m, 0) for k, (n, s, m) in gram.blocked_gram(df, ["v"], label="c_mktsegment").items()}
+    total = gram.Gram(["v"], sum(b.n for b in blocks.values()), sum(b.sums for b in blocks.values()), sum(b.matrix for b in blocks.values()), 0, blocks)
+    rows = [(m, round(proxy.ClassScorer(total, m).of([0]), 6)) for m in ("average_mahalanobis", "average_bhattacharyya")]
+    return spark.createDataFrame(rows, "metric string, score double")
+
+
 # -- selection and augmentation ---------------------------------------------------------------------------------------
 
 
@@ -343,6 +374,17 @@ def two_hop_join(spark: SparkSession, d: str) -> DataFrame:
     return got.where(F.col("hop") == 3).select("root", "key")
 
 
+@query(f"""with {_HOPS}, n as (select 'n' || n_nationkey as key, n_nationkey::double as value from nation)
+    select h1.root as key, 1 as table_index, 'id' as feature, round(avg(c_nationkey::double), 6) as value from h1 where c_nationkey in (select n_nationkey from nation) group by 1""")
+def hop_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of nations in terms of the customers of orders, which reach them over the customers' table."""
+    bridges, _ = _bridges(spark, d)
+    nation = read(spark, d, "nation").select(F.lit(1).alias("table_index"), F.lit("nation").alias("table_name"), F.lit(0).alias("key_col_index"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"), F.lit("id").alias("feature"), F.lit("id").alias("base_col"), F.col("n_nationkey").cast("double").alias("value"))
+    customer = read(spark, d, "customer").select(F.lit(0).alias("table_index"), F.lit("customer").alias("table_name"), F.lit(0).alias("key_col_index"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.lit("balance").alias("feature"), F.lit("balance").alias("base_col"), F.col("c_acctbal").alias("value"))
+    a = api.Augmenter(customer.unionByName(nation), "regression", max_hops=2, bridges=bridges)
+    return rounded(a.reachable_features(_order_customers(spark, d), "key").where("table_index = 1").select("key", "table_index", "feature", "value"))
+
+
 @query("""with o as (select o_orderkey, o_custkey from orders), c as (select c_custkey, c_nationkey from customer qualify row_number() over (partition by c_custkey) = 1), n as (select n_nationkey, n_name from nation)
     select o_orderkey, c_nationkey as nation_key, n_name as nation from o left join c on c_custkey = o_custkey left join n on n_nationkey = c_nationkey""")
 def chain_join(spark: SparkSession, d: str) -> DataFrame:
@@ -377,7 +419,7 @@ def union_peer(spark: SparkSession, d: str) -> DataFrame:
     names = features.select("table_index", "key_col_index", F.col("key_col").alias("r_col")).distinct()
     hits = union.seek_keys(values, retrieval.lake_keys(features)).join(names, ["table_index", "key_col_index"]).orderBy(F.desc("overlap"), "table_index", "q_col").limit(200)
     rows = [(r["q_col"], r["table_index"], r["r_col"], r["overlap"]) for r in hits.collect()]
-    tables = {i: (f"{t}.parquet", 1 + len(c), 100) for i, t, _, c in LAKE}
+    tables = {i: (f"{t}.parquet", 1 + len(c), read(spark, d, t).count()) for i, t, _, c in LAKE}
     peer = union.find_union_peer(rows, tables, 2, read(spark, d, "supplier").count(), 0.3)
     return spark.createDataFrame([(peer.table_name, k, v) for k, v in sorted(peer.mapping.items())] if peer else [], "table_name string, q_col string, r_col string")
 

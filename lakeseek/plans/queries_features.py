@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.functions.text import clean_text, normalize_key, snake_case
+from lakeseek.functions.text import STOP_WORDS, clean_text, normalize_key, snake_case
 from lakeseek.operators import features as feat
 from lakeseek.operators import materialize as mat
 from lakeseek.operators import prepare, sampling, state
 from lakeseek.plans.catalogue import Catalogue, read
-from lakeseek.sources.lake import split_types
+from lakeseek.plans.config import EngineConfig
+from lakeseek.plans.index import LakeIndex
+from lakeseek.sources.lake import archive, catalog, resolve_sources, split_types, with_clean_names
+from lakeseek.sources.shared import scratch
 
 query = Catalogue()
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
 
 
 def norm(c: str) -> str:
@@ -38,17 +40,52 @@ def key_normalize(spark: SparkSession, d: str) -> DataFrame:
     return names.union(numbers).distinct().select("raw", normalize_key(F.col("raw")).alias("key"))
 
 
-@query("""select distinct p_type as raw, trim(lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g')), '_') as snake from part where not regexp_matches(p_type, '[a-z0-9][A-Z]|[A-Z][A-Z][a-z]')""")
+_CAMEL = "lower(split_part(p_type, ' ', 1)) || upper(left(split_part(p_type, ' ', 2), 1)) || lower(substr(split_part(p_type, ' ', 2), 2)) || ' ' || split_part(p_type, ' ', 3) || left(p_name, 3)"
+
+
+@query(f"""with r as (select distinct {_CAMEL} as raw from part union select distinct p_type from part)
+    select raw, trim(lower(regexp_replace(regexp_replace(regexp_replace(raw, '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_') as snake from r""")
 def snake_names(spark: SparkSession, d: str) -> DataFrame:
-    types = read(spark, d, "part").select(F.col("p_type").alias("raw")).distinct()
-    return types.where(~F.col("raw").rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]")).select("raw", snake_case(F.col("raw")).alias("snake"))
+    """Types of parts as they are, and in camelCase, as lower case words."""
+    part = read(spark, d, "part")
+    raw = part.select(F.expr(_CAMEL).alias("raw")).union(part.select("p_type")).distinct()
+    return raw.select("raw", snake_case(F.col("raw")).alias("snake"))
+
+
+ALL_TABLES = sorted(["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "overlap_table", "num_state", "cat_state", "tables_meta", "sync_runs", "sync_ledger", "aug_sketch", "eval_items"])
 
 
-@query(" union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in TABLES))
+@query(" union all ".join(f"select {i} as table_index, '{t}.parquet' as table_name, count(*) as n_rows from {t}" for i, t in enumerate(ALL_TABLES)))
 def lake_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of a folder, found by listing it, and their rows."""
+    sources = [*resolve_sources(spark, d)]
     out = None
-    for t in TABLES:
-        part = read(spark, d, t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+    for s in sources:
+        part = s.read(spark).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(s.table_index).alias("table_index"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return catalog(spark, sources).join(out, "table_index").select("table_index", "table_name", "n_rows")
+
+
+@query("""select 'orders.csv' as table_name, 'ocustkey' as "column", count(*) as n, count(distinct o_custkey) as distinct_values from orders union all
+    select 'nation.csv', 'nname', count(*), count(distinct n_name) from nation union all select 'customer.tsv.gz', 'cmktsegment', count(*), count(distinct c_mktsegment) from customer""")
+def lake_of_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written as CSV in a folder, as CSV in a zip and as TSV in a tar.gz, found and read again by the lake's readers."""
+    root = scratch(spark, "texts")
+    export = {"orders.csv": ("o_orderkey", "o_custkey", "o_orderpriority"), "nation.csv": ("n_nationkey", "n_name"), "customer.tsv.gz": ("c_custkey", "c_mktsegment")}
+    kept = {"orders.csv": "ocustkey", "nation.csv": "nname", "customer.tsv.gz": "cmktsegment"}
+    folders = {"orders.csv": "folder", "nation.csv": "zipped", "customer.tsv.gz": "tarred"}
+    for name, columns in export.items():
+        df = read(spark, d, name.partition(".")[0]).select(*columns)
+        if folders[name] == "folder":
+            df.write.option("header", True).csv(f"{root}/folder/{name}")
+        else:  # an archive holds whole files
+            df.coalesce(1).write.option("header", True).option("sep", "\t" if "tsv" in name else ",").option("compression", "gzip" if name.endswith("gz") else "none").csv(f"{root}/plain/{name}")
+            archive(spark, f"{root}/{folders[name]}{'.zip' if name.endswith('csv') else '.tar.gz'}", {name: f"{root}/plain/{name}"})
+    sources = [s for p in (f"{root}/folder", f"{root}/zipped.zip", f"{root}/tarred.tar.gz") for s in resolve_sources(spark, p)]
+    out = None
+    for s in sources:
+        df = with_clean_names(s.read(spark))
+        part = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(kept[s.name]).alias("distinct_values")).select(F.lit(s.name).alias("table_name"), F.lit(kept[s.name]).alias("column"), "n", "distinct_values")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -96,7 +133,7 @@ def category_shares(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     with f as (select c_custkey as key, avg(c_acctbal) as c_acctbal_mean, median(c_acctbal) as c_acctbal_median, max(c_acctbal) as c_acctbal_max, min(c_acctbal) as c_acctbal_min
                from customer where c_custkey is not null group by 1),
-    e as (select bool_and(round(c_acctbal_mean, 9) = round(c_acctbal_median, 9)) a, bool_and(round(c_acctbal_median, 9) = round(c_acctbal_max, 9)) b, bool_and(round(c_acctbal_max, 9) = round(c_acctbal_min, 9)) c from f)
+    e as (select bool_and(c_acctbal_mean = c_acctbal_median) a, bool_and(c_acctbal_median = c_acctbal_max) b, bool_and(c_acctbal_max = c_acctbal_min) c from f)
     select unnest(['c_acctbal_mean', 'c_acctbal_median', 'c_acctbal_max', 'c_acctbal_min']) as feature,
            unnest([case when a and b and c then 'c_acctbal_min' end, case when b and c then 'c_acctbal_min' end, case when c then 'c_acctbal_min' end, 'c_acctbal_min']) as kept from e""")
 def duplicate_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -194,38 +231,57 @@ def state_merge(spark: SparkSession, d: str) -> DataFrame:
     return state.merge_numeric(parts, ["key", "col_name"]).withColumn("sum_", F.round("sum_", 4))
 
 
-@query(f"""
-    with n as (select {norm('o_custkey')} as key, o_totalprice as x from orders where o_custkey is not null and o_totalprice is not null),
-    f as (select key, avg(x) as mean, median(x) as median, max(x) as max, min(x) as min from n group by 1),
-    r as (select {norm('o_custkey')} as key, o_orderpriority as v, count(*) as r from orders where o_custkey is not null and o_orderpriority is not null group by 1, 2),
-    t as (select key, sum(r) / any_value(u * u) as mean, max(r) / any_value(u) as max, count(distinct r) as nunique from r, (select count(distinct v) as u from r) group by 1)
-    select f.key, unnest(['o_totalprice_mean', 'o_totalprice_median', 'o_totalprice_max', 'o_totalprice_min', 'o_orderpriority_mean', 'o_orderpriority_max', 'o_orderpriority_nunique']) as feature,
-           round(unnest([f.mean, f.median, f.max, f.min, t.mean, t.max, t.nunique::double]), 6) as value from f join t using (key)""")
-def update_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(read(spark, d, "orders"))
-    numeric = state.merge_numeric([state.numeric_state(p, "o_custkey", ["o_totalprice"]) for p in chunks], ["key", "col_name"])
-    text = state.merge_text([state.text_state(p, "o_custkey", ["o_orderpriority"]) for p in chunks], ["key", "col_name", "category"])
-    return rounded(state.derive(numeric, text))
+_INDEXED = f"""
+    n as (select {norm('l_suppkey')} as key, avg(l_quantity) as lquantity_mean, median(l_quantity) as lquantity_median, max(l_quantity) as lquantity_max, min(l_quantity) as lquantity_min from lineitem where l_suppkey is not null group by 1),
+    r as (select {norm('l_suppkey')} as key, l_returnflag as v, count(*) as r from lineitem where l_suppkey is not null and l_returnflag is not null group by 1, 2),
+    t as (select key, sum(r) / any_value(u * u) as lreturnflag_mean, max(r) / any_value(u) as lreturnflag_max, count(distinct r)::double as lreturnflag_nunique from r, (select count(distinct v) as u from r) group by 1),
+    wide as (select key, lquantity_mean, lquantity_median, lquantity_max, lquantity_min, lreturnflag_mean, lreturnflag_max, lreturnflag_nunique from n join t using (key)),
+    long as (unpivot wide on columns(* exclude (key)) into name feature value value)"""
 
 
-@query("""
-    with num as (select table_index, key_col_index, key, col_name, sum(count_)::bigint as count_, min(min_) as min_, max(max_) as max_ from
-                 (select distinct table_index, key_col_index, key, col_name, state_day, count_, min_, max_ from num_state) group by all)
-    select * from num""")
-def lake_state_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Days of the lake's numeric state, written twice or not, merged per table, key column, key and column."""
-    rows = read(spark, d, "num_state").select("table_index", "key_col_index", "key", "col_name", "state_day", "count_", "min_", "max_").distinct()
-    return rows.groupBy("table_index", "key_col_index", "key", "col_name").agg(F.sum("count_").alias("count_"), F.min("min_").alias("min_"), F.max("max_").alias("max_"))
+def _lines(spark: SparkSession, d: str) -> tuple[LakeIndex, DataFrame]:
+    index = LakeIndex(spark, "lines", EngineConfig(scratch(spark, "index")))
+    return index, read(spark, d, "lineitem").select("l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
 
 
-@query()
-def lake_state_merge_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Days of the lake's numeric state, written twice or not, merged whole: sums and values too. ``lake_state_merge`` merges counts and ends only.
+_NO_TWINS = "select key, feature, base_col, round(value, 6) as value from (select key, feature, regexp_replace(feature, '_(mean|median|max|min|nunique)$', '') as base_col, value, count(distinct value) over (partition by feature) as u from long) where u > 1"
+
+
+@query(f"with {_INDEXED} {_NO_TWINS}")
+def index_features(spark: SparkSession, d: str) -> DataFrame:
+    """A table indexed by its supplier key: its features in the index; constant ones aren't kept."""
+    index, lines = _lines(spark, d)
+    index.add_table(lines.drop("l_linenumber"), 0, "lines", key_columns=["l_suppkey"])
+    return rounded(index.read("features").select("key", "feature", "base_col", "value"))
+
 
-    No SQL: sums with sentinels of 1e18 depend on the order of the rows.
+@query("select 0 as table_index, 'lines' as table_name, count(distinct l_suppkey) as keys, (select count(*) from lineitem) as n_rows, ['lsuppkey'] as key_columns from lineitem where l_suppkey is not null")
+def index_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """What the index knows of the table."""
+    index, lines = _lines(spark, d)
+    index.add_table(lines.drop("l_linenumber"), 0, "lines", key_columns=["l_suppkey"])
+    return index.indexed_tables().join(index.read("meta"), ["table_index", "table_name"]).select("table_index", "table_name", "keys", "n_rows", "key_columns")
+
+
+@query(f"with {_INDEXED} select key, feature, round(value, 6) as value from long")
+def update_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """A table indexed with some of its rows and updated with the others, one update being delivered twice."""
+    index, lines = _lines(spark, d)
+    parts = [lines.where(F.col("l_linenumber") % 3 == i).drop("l_linenumber") for i in range(3)]
+    index.add_table(parts[0], 0, "lines", key_columns=["l_suppkey"], update_support=True)
+    for delta, part in (("one", parts[1]), ("one", parts[1]), ("two", parts[2])):
+        index.update_table("lines", part, delta)
+    return rounded(index.read("features").select("key", "feature", "value"))
+
+
+@query("""select table_index, key_col_index, key, col_name, sum(count_)::bigint as count_, min(min_) as min_, max(max_) as max_, list_sort(flatten(list(values_)), 'ASC', 'NULLS FIRST') as values_
+    from (select distinct * from num_state) group by table_index, key_col_index, key, col_name""")
+def lake_state_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Days of the lake's numeric state, written twice or not, merged whole per table, key column, key and column.
+
+    ``sum_`` is merged but not shown: with sentinels of 1e18 among its parts it depends on the order of addition.
     """
-    merged = state.merge_numeric([read(spark, d, "num_state").distinct()], ["table_index", "key_col_index", "key", "col_name"])
-    return merged.withColumn("sum_", F.round("sum_", 4))
+    return state.merge_numeric([read(spark, d, "num_state").distinct()], ["table_index", "key_col_index", "key", "col_name"]).drop("sum_")
 
 
 # -- sampling ---------------------------------------------------------------------------------------------------------
@@ -274,15 +330,8 @@ def prepare_query_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    select a as "column", round(c, 6) as corr from (select unnest(['l_quantity', 'l_discount', 'l_tax', 'l_linenumber']) as a,
-        unnest([corr(l_quantity, l_extendedprice), corr(l_discount, l_extendedprice), corr(l_tax, l_extendedprice), corr(l_linenumber, l_extendedprice)]) as c from lineitem)""")
-def leakage_corr(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-    row = read(spark, d, "lineitem").agg(*[F.corr(c, "l_extendedprice").alias(c) for c in columns])
-    return rounded(row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("corr")) for c in columns])).alias("c")).select("c.*"))
-
-
-@query()
+    with l as (select l_extendedprice as y, l_extendedprice * 2 + 1 as copy, l_quantity as q, l_discount as d, l_tax as t from lineitem)
+    select "column" from (select unnest(['copy', 'l_quantity', 'l_discount', 'l_tax']) as "column", unnest([corr(copy, y), corr(q, y), corr(d, y), corr(t, y)]) as c from l) where abs(c) >= 0.99""")
 def target_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Columns that give the price away once a copy of it is among them."""
     df = read(spark, d, "lineitem").withColumn("copy", F.col("l_extendedprice") * 2 + 1)
@@ -290,16 +339,9 @@ def target_leaks(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in found], "column string")
 
 
-@query("""select doc_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9_]+', ' ', 'g')), ' +'),
-    lambda w: w <> '' and not list_contains(['a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','were','will','with','this','these','those','or','not'], w)), ' ') as cleaned
-    from documents where text is not null and length(text) = strlen(text)""")
+@query(f"""select doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '),
+    lambda w: w <> '' and not list_contains({STOP_WORDS}, w)), ' ') as cleaned from documents where text is not null""")
 def cleaned_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").where(F.col("text").isNotNull() & (F.length("text") == F.octet_length("text")))
-    return docs.select("doc_id", clean_text(F.col("text")).alias("cleaned"))
-
-
-@query()
-def cleaned_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with a text, cleaned; non-ASCII characters are stripped. ``cleaned_text`` has only the all-ASCII texts, on which two engines can be compared."""
+    """The ASCII words of every document, without stop words."""
     docs = read(spark, d, "documents").where(F.col("text").isNotNull())
     return docs.select("doc_id", clean_text(F.col("text")).alias("cleaned"))

@@ -33,9 +33,9 @@ class Registry:
 
 
 models = Registry("model", {
-    "RegressionQR": "lakeseek.plans.proxy:RegressionScorer",
+    "RegressionQR": "lakeseek.plans.proxy:QRScorer",
     "RegressionCholesky": "lakeseek.plans.proxy:RegressionScorer",
-    "IncrementalRegressionFGS": "lakeseek.plans.proxy:RegressionScorer",
+    "IncrementalRegressionFGS": "lakeseek.plans.proxy:IncrementalScorer",
     "ClassificationCholesky": "lakeseek.plans.proxy:ClassScorer",
     "LinRegL1": "lakeseek.plans.proxy:lasso",
     "LogRegL1": "pyspark.ml.classification:LogisticRegression",

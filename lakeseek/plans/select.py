@@ -86,22 +86,28 @@ def _gain(new: float, old: float) -> float:
     return (new - old) / max(abs(old), 1e-12)
 
 
-def forward(gram, candidates: list[Candidate], metric: str, tol: float = 0.05, budget: Budget | None = None, trajectory: Trajectory | None = None, require_gain: bool = False, max_features: int | None = None) -> Selection:
+def forward(gram, candidates: list[Candidate], metric: str, tol: float = 0.05, budget: Budget | None = None, trajectory: Trajectory | None = None, require_gain: bool = False, max_features: int | None = None, model: str | None = None) -> Selection:
     """Greedy forward selection: accept the best candidate, drop its family, stop at a relative gain below
     tol / sqrt(pool + 1), at an empty pool or when the budget is spent.
 
     The first best candidate is accepted in any case unless ``require_gain``. Ties go to the earlier candidate.
     """
-    s = scorer(gram, metric)
-    out, budget = Selection(), budget or Budget()
+    s = scorer(gram, metric, model)
     base = list(range(gram.base))
-    out.base_score = s.of(base) if isinstance(s, RegressionScorer) else None
-    have, pool, last = base, list(candidates), out.base_score if require_gain else None
+    columns = lambda chosen: [*base, *(i for c in chosen for i in c.columns)]
+    base_score = s.of(base) if isinstance(s, RegressionScorer) else None
+    return greedy(lambda chosen, pool: s.score(columns(chosen), [list(c.columns) for c in pool]), candidates, base_score, tol, budget, trajectory, require_gain, max_features)
+
+
+def greedy(score: Callable[[list[Candidate], list[Candidate]], np.ndarray], candidates: list[Candidate], base_score: float | None, tol: float = 0.05, budget: Budget | None = None, trajectory: Trajectory | None = None, require_gain: bool = False, max_features: int | None = None) -> Selection:
+    """The loop of ``forward``; ``score`` gives one score for each candidate of the pool beside those chosen so far."""
+    out, budget = Selection(base_score=base_score), budget or Budget()
+    pool, last = list(candidates), base_score if require_gain else None
     while pool and not (max_features and len(out.accepted) >= max_features):
         if out.accepted and budget.over():
             out.expired = True
             break
-        scores = s.score(have, [list(c.columns) for c in pool])
+        scores = score(out.accepted, pool)
         best = int(np.argmax(scores))
         out.history += [{"iteration": len(out.accepted), "candidate": c.name, "score": float(v), "rank": int(r), "chosen": k == best} for k, (c, v, r) in enumerate(zip(pool, scores, np.argsort(np.argsort(-scores, kind="stable"), kind="stable") + 1, strict=True))]
         if not np.isfinite(scores[best]):
@@ -111,20 +117,19 @@ def forward(gram, candidates: list[Candidate], metric: str, tol: float = 0.05, b
         chosen, last = pool[best], float(scores[best])
         out.accepted.append(chosen)
         out.scores.append(last)
-        have = [*have, *chosen.columns]
         pool = [c for c in pool if c.family != chosen.family]
         if trajectory:
             trajectory.add(len(out.accepted), budget.spent(), out.names(), {"score": last})
     return out
 
 
-def backward(gram, candidates: list[Candidate], metric: str, tol: float = 0.05, rule: str = "loss", budget: Budget | None = None) -> Selection:
+def backward(gram, candidates: list[Candidate], metric: str, tol: float = 0.05, rule: str = "loss", budget: Budget | None = None, model: str | None = None) -> Selection:
     """Backward elimination from all independent candidates; base columns are never removed.
 
     ``rule='loss'``: stop when the best removal would lose more than tol / sqrt(size + 1) relatively.
     ``rule='reference'``: stop when the relative change exceeds minus that bound.
     """
-    s, budget, out = scorer(gram, metric), budget or Budget(), Selection()
+    s, budget, out = scorer(gram, metric, model), budget or Budget(), Selection()
     base = list(range(gram.base))
     std, _ = gram.standardized()
     flat = [*base, *(i for c in candidates for i in c.columns)]
@@ -158,10 +163,10 @@ def knee(values: list[float]) -> int:
     return int(np.argmax((1 - x / x[-1]) - (y - y[-1]) / span)) + 1
 
 
-def incremental(gram, candidates: list[Candidate], metric: str, tol: float = 0.05, table_batch_size: int = 1, budget: Budget | None = None) -> Selection:
+def incremental(gram, candidates: list[Candidate], metric: str, tol: float = 0.05, table_batch_size: int = 1, budget: Budget | None = None, model: str | None = None) -> Selection:
     """Tables in batches, in the order of the candidates: of each batch the features before the knee of their absolute
     coefficients join the model if the score gains more than tol."""
-    s, budget, out = scorer(gram, metric), budget or Budget(), Selection()
+    s, budget, out = scorer(gram, metric, model), budget or Budget(), Selection()
     have = list(range(gram.base))
     last = s.of(have)
     out.base_score = last

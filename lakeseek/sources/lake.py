@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tarfile
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from pathlib import Path
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeseek.functions.text import column_names
-from lakeseek.sources.shared import shared_dir
+from lakeseek.sources.shared import children, hadoop_path, scratch
 
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".tsv": "tsv"}
 
@@ -41,43 +39,79 @@ def _format(name: str) -> str | None:
     return next((f for end, f in FORMATS.items() if name.lower().endswith(end)), None)
 
 
-def _unpack(spark: SparkSession, archive: Path, names: list[str], opened) -> dict[str, str]:
-    """Members copied to the shared folder, where all executors can read them."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = {}
-    for at, name in enumerate(names):
-        target = f"{shared_dir(spark)}/unpacked/{archive.name}/{at}-{Path(name).name}"
-        path = fs_path(target)
-        stream = path.getFileSystem(conf).create(path, True)
-        with opened(name) as member:
-            while chunk := member.read(1 << 22):
-                stream.write(bytearray(chunk))
+ARCHIVES = (".zip", ".tar.gz", ".tgz", ".tar")
+
+
+def _unpack(spark: SparkSession, archive: str, wanted: Callable[[str], bool]) -> dict[str, str]:
+    """The wanted members of an archive, in its order, copied to the shared folder, where all executors can read them.
+
+    The archive may lie in any store that Spark reads. It is copied as a stream inside the JVM of the driver.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path, fs = hadoop_path(spark, archive)
+    raw = jvm.java.io.BufferedInputStream(fs.open(path))
+    if archive.endswith(".zip"):
+        stream = jvm.java.util.zip.ZipInputStream(raw)
+    else:
+        unzipped = raw if archive.endswith(".tar") else jvm.java.util.zip.GZIPInputStream(raw)
+        stream = jvm.org.apache.commons.compress.archivers.tar.TarArchiveInputStream(unzipped)
+    out, root = {}, scratch(spark, "unpacked")
+    try:
+        while (entry := stream.getNextEntry()) is not None:
+            name = entry.getName()
+            if not entry.isDirectory() and wanted(name):
+                out[name] = f"{root}/{len(out)}-{PurePosixPath(name).name}"
+                target, to = hadoop_path(spark, out[name])
+                sink = to.create(target, True)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, sink, conf, False)
+                sink.close()
+    finally:
         stream.close()
-        out[name] = target
     return out
 
 
+def archive(spark: SparkSession, path: str, members: dict[str, str]) -> None:
+    """Pack files into a zip or tar.gz in any store; a member given as a folder is the single part file in it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p, fs = hadoop_path(spark, path)
+    raw = fs.create(p, True)
+    zipped = path.endswith(".zip")
+    tar = jvm.org.apache.commons.compress.archivers.tar
+    out = jvm.java.util.zip.ZipOutputStream(raw) if zipped else tar.TarArchiveOutputStream(jvm.java.util.zip.GZIPOutputStream(raw))
+    for name, member in members.items():
+        m, of = hadoop_path(spark, member)
+        if of.getFileStatus(m).isDirectory():
+            m, _ = hadoop_path(spark, f"{member}/{next(n for n in children(spark, member) if n.startswith('part-'))}")
+        if zipped:
+            out.putNextEntry(jvm.java.util.zip.ZipEntry(name))
+        else:
+            entry = tar.TarArchiveEntry(name)
+            entry.setSize(of.getFileStatus(m).getLen())
+            out.putArchiveEntry(entry)
+        source = of.open(m)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+        source.close()
+        out.closeEntry() if zipped else out.closeArchiveEntry()
+    out.close()
+
+
 def list_tables(spark: SparkSession, path: str, first_index: int = 0, after: str | None = None, n_tables: int | None = None) -> list[TableSource]:
     """Tables of a directory (by name, not recursive), of a zip (.parquet, .csv) or of a tar.gz (.tsv.gz), in order.
 
-    ``after``: resume behind the table of this name; ``n_tables``: stop after so many.
+    The path may be one of any store that Spark reads; a folder named like a table is a table. ``after``: resume behind
+    the table of this name; ``n_tables``: stop after so many.
     """
-    p = Path(path)
-    if p.is_dir():
-        found = [(f.name, str(f), _format(f.name)) for f in sorted(p.iterdir()) if _format(f.name)]
-    elif zipfile.is_zipfile(p):
-        with zipfile.ZipFile(p) as z:
-            names = [n for n in z.namelist() if _format(n) in ("parquet", "csv")]
-            paths = _unpack(spark, p, names, z.open)
-        found = [(n, paths[n], _format(n)) for n in names]
-    elif tarfile.is_tarfile(p):
-        with tarfile.open(p) as t:
-            names = [n for n in t.getnames() if n.endswith(".tsv.gz")]
-            paths = _unpack(spark, p, names, t.extractfile)
-        found = [(n, paths[n], "tsv.gz") for n in names]
-    else:
+    p, fs = hadoop_path(spark, path)
+    if not fs.exists(p):
         raise FileNotFoundError(path)
+    if fs.getFileStatus(p).isDirectory():
+        found = [(n, f"{path.rstrip('/')}/{n}", _format(n)) for n in children(spark, path) if _format(n)]
+    elif path.endswith(".zip"):
+        found = [(n, f, _format(n)) for n, f in _unpack(spark, path, lambda n: _format(n) in ("parquet", "csv")).items()]
+    elif path.endswith(ARCHIVES):
+        found = [(n, f, "tsv.gz") for n, f in _unpack(spark, path, lambda n: n.endswith(".tsv.gz")).items()]
+    else:
+        raise FileNotFoundError(f"{path} is neither a folder nor an archive ({', '.join(ARCHIVES)})")
     if after is not None:
         at = [n for n, _, _ in found].index(after) + 1
         first_index, found = first_index + at, found[at:]
@@ -86,11 +120,12 @@ def list_tables(spark: SparkSession, path: str, first_index: int = 0, after: str
 
 def resolve_sources(spark: SparkSession, path: str) -> Iterator[TableSource]:
     """All tables under ``path``; a directory of archives is read archive by archive with running table numbers."""
-    p = Path(path)
-    archives = sorted(f for f in p.iterdir() if f.name.endswith((".zip", ".tar.gz", ".tgz"))) if p.is_dir() else []
+    p, fs = hadoop_path(spark, path)
+    folder = fs.exists(p) and fs.getFileStatus(p).isDirectory()
+    archives = [f"{path.rstrip('/')}/{n}" for n in children(spark, path) if n.endswith(ARCHIVES)] if folder else []
     start = 0
-    for a in archives or [p]:
-        tables = list_tables(spark, str(a), start)
+    for a in archives or [path]:
+        tables = list_tables(spark, a, start)
         start += len(tables)
         yield from tables
 

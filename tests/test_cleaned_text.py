@@ -21,6 +21,6 @@ def test_non_ascii_texts(spark):
 
 def test_every_document(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null").collect()
-    got = {r["doc_id"]: r["cleaned"] for r in Q.queries()["cleaned_text_all"](spark, data).collect()}
+    got = {r["doc_id"]: r["cleaned"] for r in Q.queries()["cleaned_text"](spark, data).collect()}
     assert got == {r["doc_id"]: brute(r["text"]) for r in docs}
     assert len([r for r in docs if not r["text"].isascii()]) > 0

@@ -30,20 +30,20 @@ def test_every_query_table_is_asked(spark, lake):
     tokens = {t: sets[f"{t}.0"] | sets[f"{t}.1"] for t in range(0, 401, 100)}
     keys = {t: tables[t, 0] | tables[t, 1] for t in range(0, 401, 100)}
     top = {(q, s, n) for q, v in tokens.items() for n, s in sorted(((len(v & w), s) for s, w in sets.items()), key=lambda x: (-x[0], x[1]))[:10]}
-    got = Q.queries()["exact_set_overlap_topk_many"](spark, d).collect()
+    got = Q.queries()["exact_set_overlap_topk"](spark, d).collect()
     assert {(r["query_id"], r["set_id"], r["overlap"]) for r in got} == top and len(got) == 50
     near = {(q, *p, n, round(n / len(v), 6)) for q, v in keys.items() for n, p in sorted(((len(v & w), p) for p, w in tables.items()), key=lambda x: (-x[0], x[1]))[:20]}
-    got = Q.queries()["overlap_topk_lake_many"](spark, d).collect()
+    got = Q.queries()["overlap_topk_lake"](spark, d).collect()
     assert {(r["query_id"], r["table_index"], r["key_col_index"], r["n"], r["ratio"]) for r in got} == near
     paths = set()
     for q in (s for s in sets if int(s.split(".")[0]) % 100 == 0):
         held = sorted(((len(sets[q] & w), s) for s, w in sets.items() if s != q and 10 * len(sets[q] & w) >= len(sets[q])), key=lambda x: (-x[0], x[1]))
         paths |= {(q, s, n) for n, s in held[:20]}
-    got = Q.queries()["containment_join_paths_many"](spark, d).collect()
+    got = Q.queries()["containment_join_paths"](spark, d).collect()
     assert {(r["query_id"], r["set_id"], r["shared"]) for r in got} == paths and len({p[0] for p in paths}) == 10
 
 
-@pytest.mark.parametrize("name", ["exact_set_overlap_topk_many", "overlap_topk_lake_many", "containment_join_paths_many"])
+@pytest.mark.parametrize("name", ["exact_set_overlap_topk", "overlap_topk_lake", "containment_join_paths"])
 def test_as_the_sql(spark, lake, name):
     c = duckdb.connect()
     c.sql(f"create view overlap_table as select * from '{lake[0]}/overlap_table.parquet/*.parquet'")

@@ -22,5 +22,5 @@ def test_every_query_against_all(spark):
 def test_registered_for_the_query_table(spark, data):
     vectors = spark.read.parquet(f"{data}/embeddings.parquet")
     asked = {r["vec_id"] for r in vectors.where("vec_id % 100 = 0").collect()}
-    got = Q.queries()["embedding_topk_many"](spark, data).groupBy("query_id").count().collect()
+    got = Q.queries()["embedding_topk"](spark, data).groupBy("query_id").count().collect()
     assert {r["query_id"] for r in got} == asked and {r["count"] for r in got} == {min(10, vectors.count())}
