@@ -271,7 +271,10 @@ def rank_correlation_augment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def profile_search(spark: SparkSession, d: str) -> DataFrame:
-    got = augmenters.profile_search(_nation_query(spark, d), "key", "y", _tables(spark, d), "id", queries=3, trees=5)
+    """Which columns of the lines help to tell their prices, the lines being split into a query table and a lake table."""
+    lines = read(spark, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    query_ = lines.select(F.col("key").alias("id"), "key", F.col("l_extendedprice").alias("y"))
+    got = augmenters.profile_search(query_, "key", "y", {"lines": (lines.select("key", "l_quantity", "l_discount", "l_tax"), "key")}, "id", queries=3, trees=5)
     return spark.createDataFrame(got.plan, "feature string, gain double")
 
 

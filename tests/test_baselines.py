@@ -96,6 +96,18 @@ def test_stream_is_applied_once(spark, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     for _ in range(2):  # a restart finds nothing new
         append_updates(spark, str(src), df.schema, "k", ["v"], store, str(tmp_path / "cp"), max_files=1).awaitTermination()
+    assert store.newest() == 3 and not store.add(store.read(), 2)  # a batch delivered again
     got = {r["key"]: (r["count_"], r["sum_"], list(r["values_"])) for r in store.read().collect()}
     want = {f"k{j}": sorted(v for k, v in rows if k == f"k{j}") for j in range(7)}
     assert got == {k: (len(v), sum(v), v) for k, v in want.items()}
+
+
+def test_batches_are_summed_up_now_and_then(spark, tmp_path):
+    from lakeseek.operators import state
+
+    store = StateStore(spark, str(tmp_path / "s"), compact=2)
+    for b in range(7):
+        assert store.add(state.numeric_state(spark.createDataFrame([("k", float(b))], "k string, v double"), "k", ["v"]), b)
+    assert [(r["count_"], r["sum_"], r["values_"]) for r in store.read().collect()] == [(7, 21.0, [float(b) for b in range(7)])]
+    assert store._numbers("sums") == [3, 5] and store._numbers("deltas") == [4, 5, 6] and store.newest() == 6
+    assert not store.add(store.read(), 4)

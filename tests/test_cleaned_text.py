@@ -5,14 +5,14 @@ from lakeseek.plans import queries as Q
 
 
 def brute(t):
-    words = re.sub(r"[^a-z0-9_]+", " ", re.sub(r"[^\x00-\x7f]", "", t.lower())).split(" ")
+    words = re.sub(r"[^A-Za-z0-9]+", " ", re.sub(r"[^\x00-\x7f]", "", t)).split(" ")
     return " ".join(w for w in words if w and w not in STOP_WORDS)
 
 
 def test_non_ascii_texts(spark):
     want = {
-        "Größe und Maß": "gre und ma", "L’été à Orléans": "lt orlans", "The naïve café": "nave caf", "終わり。": "", "a 終 b": "b",
-        "İstanbul K9": "istanbul k9", "snake_caſe": "snake_cae", "Done! 🙂 It's": "done s", "tab bed": "tabbed", "": "", "THE": "",
+        "Größe und Maß": "Gre und Ma", "L’été à Orléans": "Lt Orlans", "but the naïve café": "nave caf", "終わり。": "", "a 終 b": "b",
+        "İstanbul K9": "stanbul K9", "snake_caſe": "snake cae", "Done! 🙂 It's": "Done It s", "tab\u200bbed": "tabbed", "": "", "THE": "THE", "they will, d": "",
     }
     df = spark.createDataFrame([(t,) for t in want], "t string")
     got = {r["t"]: r["c"] for r in df.select("t", clean_text(df["t"]).alias("c")).collect()}

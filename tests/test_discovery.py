@@ -297,3 +297,57 @@ def test_union_peer():
     assert (peer.table_name, peer.mapping, peer.coverage, peer.score) == ("one.csv", {"a": "x", "b": "y"}, 1.0, 170 / 200)
     assert union.find_union_peer(hits, tables, 2, 100, threshold=0.9) is None
     assert union.find_union_peer([], {}, 2, 100) is None
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_blocks_select_as_one_matrix_does(world, monkeypatch, task):
+    q, f = world
+    if task == "classification":
+        q = q.withColumn("y", F.when(F.col("y") > 0, 1.0).otherwise(0.0))
+    a = api.Augmenter(f, task, top_k=5, threshold=None, tol=0.001, params={"polynomial_features": {"enabled": True, "degree": 2}, "dummify_features": {"enabled": True, "n_bins": 3}})
+    whole = a.augment(q, "key", "y", debug=True).plan
+    monkeypatch.setattr(api, "MAX_COLUMNS", 9)  # two candidates a block
+    blocks = a.augment(q, "key", "y", debug=True).plan
+    assert len(whole) > 1
+    assert [(p["feature"], p["edges"], round(p["score"], 9)) for p in blocks] == [(p["feature"], p["edges"], round(p["score"], 9)) for p in whole]
+
+
+@pytest.mark.parametrize("metric", proxy.REGRESSION_METRICS)
+def test_models_agree(metric):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(200, 6))
+    x[:, 5] = x[:, 0] + x[:, 1]  # depends on others
+    rows = np.column_stack([x, x[:, 1] - 2 * x[:, 3] + 0.1 * rnd.normal(size=200)])
+    g = gram.Gram([f"c{i}" for i in range(7)], 200, rows.sum(0), rows.T @ rows, 1)
+    candidates = [select.Candidate(f"c{i}", (i,), (i,)) for i in range(1, 6)]
+    plans = {m: select.forward(g, candidates, metric, 0.001, model=m) for m in ("RegressionCholesky", "RegressionQR", "IncrementalRegressionFGS")}
+    first = plans.pop("RegressionCholesky")
+    assert first.names()[:2] == ["c3", "c1"]
+    for p in plans.values():
+        assert p.names() == first.names() and np.allclose(p.scores, first.scores, rtol=1e-6)
+
+
+def test_collinear_columns_in_one_pass():
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(50, 5))
+    x = np.column_stack([x, x[:, 0] - x[:, 3], x[:, 1] * 2, rnd.normal(size=50)])
+    assert proxy.collinear(x.T @ x) == [5, 6] and proxy.collinear(np.zeros((0, 0))) == []
+
+
+def test_several_hops_through_the_facade(spark):
+    rnd = random.Random(2)
+    regions = {f"r{i}": float(i) for i in range(5)}
+    city = {f"c{i}": f"r{i % 5}" for i in range(40)}
+    q = spark.createDataFrame([(c, rnd.random(), regions[r] + 0.01 * rnd.random()) for c, r in city.items() for _ in range(3)], "key string, x double, y double")
+    bridges = [(0, 0, c, 1, r) for c, r in city.items()] + [(0, 1, r, 0, c) for c, r in city.items()]
+    bridges = spark.createDataFrame(bridges, "table_index int, key_col_index int, key string, to_key_col int, to_key string")
+    feats = [(0, "city.csv", 0, "id", c, "noise_mean", "noise", rnd.random()) for c in city] + [(1, "region.csv", 0, "id", r, "level_mean", "level", v) for r, v in regions.items()]
+    f = spark.createDataFrame(feats, LONG)
+    got = api.Augmenter(f, "regression", threshold=None, max_hops=2, bridges=bridges).augment(q, "key", "y", debug=True)
+    assert got.plan[0]["feature"] == "level_mean"
+    rows = got.table.select("key", "`region.csv.level_mean`").distinct().collect()
+    assert {r[0]: r[1] for r in rows} == {c: regions[r] for c, r in city.items()} and got.table.count() == 120
+    one = api.Augmenter(f, "regression", threshold=None).augment(q, "key", "y", debug=True)
+    assert "level_mean" not in [p["feature"] for p in one.plan]
+    with pytest.raises(ValueError, match="bridges"):
+        api.Augmenter(f, "regression", max_hops=2)

@@ -125,3 +125,21 @@ def test_empty_tables(spark):
     assert feat.text_features(df, "k", ["t"]).count() == 0
     assert feat.useful_columns(df) == []
     assert state.numeric_state(df, "k", ["x"]).count() == 0
+
+
+def test_long_keys_stay_distinct(spark):
+    from lakeseek.operators.prepare import prepare_query_table
+
+    a, b = "x" * 340 + "a", "x" * 340 + "b"
+    df = spark.createDataFrame([(a, 1.0, 0), (b, 3.0, 1), ("y" * 335, 5.0, 2)], "k string, v double, o int")
+    got = feat.numeric_features(df, "k", ["v"]).collect()
+    assert {r["v_mean"] for r in got} == {1.0, 3.0, 5.0}
+    assert all(len(r["key"]) <= X.KEY_LENGTH for r in got)
+    asked = prepare_query_table(df, "k", "v", "o", task="regression").collect()
+    assert {r["k"] for r in asked} == {r["key"] for r in got}
+
+
+def test_small_columns_stay(spark):
+    df = spark.createDataFrame([(f"k{i}", (i % 3) * 1e-10, (i % 2) * 1e-10) for i in range(12)], "k string, a double, b double")
+    got = feat.combined_features(df, "k", ["a", "b"], [])
+    assert {c[0] for c in got.columns} == {"k", "a", "b"}
