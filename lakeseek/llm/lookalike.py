@@ -217,7 +217,7 @@ def rewriter(rules: tuple[tuple[str, str], ...]) -> Callable[[str], str]:
 
     A composed text without any character that a rule may change is its own form; only the others are taken apart.
     """
-    touched = _touched(rules)
+    touched, automaton = _touched(rules), _automaton(rules)
     plain = not touched[:128].any()
 
     def one_form(text: str) -> str:
@@ -227,7 +227,7 @@ def rewriter(rules: tuple[tuple[str, str], ...]) -> Callable[[str], str]:
             return unicodedata.normalize("NFC", text)
         text = unicodedata.normalize("NFD", text)
         out, at = [], 0
-        for end, (n, rep) in _automaton(rules).iter_long(text):
+        for end, (n, rep) in automaton.iter_long(text):
             out += (text[at : end - n + 1], rep)
             at = end + 1
         return unicodedata.normalize("NFC", "".join((*out, text[at:])))
