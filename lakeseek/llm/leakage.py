@@ -86,6 +86,19 @@ class Words(dict):
             del self.hashes[self.fixed :]
 
 
+def run_sums(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Row i: how often each bit is set in the window at i, for windows below 256; runs of doubled lengths are added up."""
+    runs = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
+    n, sums, at = len(hashes) - window + 1, None, 0
+    for k in range(window.bit_length()):
+        if window >> k & 1:
+            part = runs[at : at + n]
+            sums = part.copy() if sums is None else np.add(sums, part, out=sums)
+            at += 1 << k
+        runs = runs[: -(1 << k)] + runs[1 << k :] if len(runs) > 1 << k else runs[:0]
+    return sums
+
+
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
     """Row i: how often each bit is set among the first i hashes."""
     bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
@@ -104,6 +117,8 @@ def prints_at(sums: np.ndarray, first: int, count: int, window: int, stride: int
 def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
     """SimHash of every run of ``window`` word hashes."""
     n = len(hashes) - window + 1
+    if n > 0 and window < 256:
+        return np.packbits(run_sums(hashes, window) > window // 2, axis=1).view(np.uint64).ravel()
     return prints_at(bit_sums(hashes), 0, n, window) if n > 0 else np.zeros(0, np.uint64)
 
 
@@ -235,13 +250,18 @@ class Index:
         hashes = self.words.of(flat)
         step = max(CHUNK, 4 * self.longest)
         for at in range(0, len(flat), step):
-            sums = bit_sums(hashes[at : at + step + self.longest - 1])
+            part = hashes[at : at + step + self.longest - 1]
+            sums = bit_sums(part) if self.sized else None
             for layer in (self.passages, *self.sized):
                 first = -at % layer.stride
-                count = (min(len(sums) - 1 - layer.window, step - 1) - first) // layer.stride + 1
+                count = (min(len(part) - layer.window, step - 1) - first) // layer.stride + 1
                 if count < 1 or not len(layer.blocks.prints):
                     continue
-                place, own = layer.blocks.near(prints_at(sums, first, count, layer.window, layer.stride))
+                if layer is self.passages:
+                    prints = fingerprints(part[: step + layer.window - 1], layer.window)
+                else:
+                    prints = prints_at(sums, first, count, layer.window, layer.stride)
+                place, own = layer.blocks.near(prints)
                 place = at + first + place * layer.stride
                 doc = np.searchsorted(ends, place, "right")
                 inside = place + layer.window <= ends[doc]

@@ -14,6 +14,7 @@ Upper and lower case, letters with and without accent, letters and digits, and d
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zipfile
 from collections.abc import Callable, Iterator
@@ -37,6 +38,7 @@ IGNORABLE = [(0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F
 # Characters of category Cf that are visible.
 VISIBLE_FORMATS = [(0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0xFFF9, 0xFFFB), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0x13430, 0x1343F)]
 CODE_POINTS = 0x110000
+_PIECE = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
 
 
 class UnionFind:
@@ -215,23 +217,43 @@ def _touched(rules: tuple[tuple[str, str], ...]) -> np.ndarray:
 def rewriter(rules: tuple[tuple[str, str], ...]) -> Callable[[str], str]:
     """The function that brings a text to its form.
 
-    A composed text without any character that a rule may change is its own form; only the others are taken apart.
+    A composed text without any character that a rule may change is its own form. Of the others only runs of non-ASCII
+    characters, each with the character ahead of it, are taken apart, unless a rule has ASCII characters among its members:
+    an ASCII character never composes with what stands before it, so nothing crosses the ends of such a piece.
     """
     touched, automaton = _touched(rules), _automaton(rules)
     plain = not touched[:128].any()
+    in_pieces = plain and not any(c.isascii() for m, _ in rules for c in m)
+    known: dict[str, str] = {}
 
-    def one_form(text: str) -> str:
-        if plain and text.isascii():
-            return text
-        if not touched[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
-            return unicodedata.normalize("NFC", text)
+    def rewritten(text: str) -> str:
         text = unicodedata.normalize("NFD", text)
         out, at = [], 0
-        for end, (n, rep) in automaton.iter_long(text):
+        for end, (n, rep) in automaton.iter_long(text) if rules else ():
             out += (text[at : end - n + 1], rep)
             at = end + 1
         return unicodedata.normalize("NFC", "".join((*out, text[at:])))
 
+    def piece(found: re.Match) -> str:
+        text = found[0]
+        if (form := known.get(text)) is None:
+            if len(known) > 1 << 16:
+                known.clear()
+            form = rewritten(text)
+            if len(text) < 64:
+                known[text] = form
+        return form
+
+    def one_form(text: str) -> str:
+        if plain and text.isascii():
+            return text
+        if in_pieces:
+            return _PIECE.sub(piece, text)
+        if not touched[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            return unicodedata.normalize("NFC", text)
+        return rewritten(text)
+
+    one_form.whole = rewritten
     return one_form
 
 

@@ -123,17 +123,19 @@ def test_blocks_find_every_fingerprint_in_the_radius():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(int(x), int(y)) for x, y in zip(*np.where(bits <= 3), strict=True)}
 
 
-def test_fingerprint_is_the_majority_of_bits():
+@pytest.mark.parametrize("window", [1, 2, 5, 8, 10, 13, 50, 255, 256, 300])
+def test_fingerprint_is_the_majority_of_bits(window):
     rnd = np.random.default_rng(1)
-    h = rnd.integers(0, 1 << 63, 50, dtype=np.uint64)
-    got = K.fingerprints(h, 5)
-    for k in range(46):
+    h = rnd.integers(0, 1 << 63, window + 20, dtype=np.uint64)
+    got = K.fingerprints(h, window)
+    assert len(got) == 21
+    for k in range(21):
         want = 0
         for bit in range(64):
-            if sum((int(x) >> bit) & 1 for x in h[k : k + 5]) > 2:
+            if 2 * sum((int(x) >> bit) & 1 for x in h[k : k + window]) > window:
                 want |= 1 << bit
         assert int(got[k]) == want
-    assert len(K.fingerprints(h[:3], 5)) == 0
+    assert len(K.fingerprints(h[: window - 1], window)) == 0
 
 
 def test_portions():
