@@ -27,11 +27,17 @@ def _median(c: Column, exact: bool) -> Column:
     return F.median(c) if exact else F.percentile_approx(c, 0.5, 10_000).cast("double")
 
 
+def _size(df: DataFrame) -> int:
+    """Spark's estimate of the bytes that ``df`` reads, without a job. A key of n different values takes at least n bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def numeric_features(df: DataFrame, key: str, columns: list[str], exact_median: bool = True) -> DataFrame:
     """``key`` and ``<column>_mean, _median, _max, _min``; nulls count as the column's mean over rows with a key.
 
     An exact median keeps a key's distinct values in memory. Keys of more than ``HOT_ROWS`` rows get theirs from a
-    numbering of all their values over a range partitioning instead, so no task holds a whole key. ``exact_median=False``
+    numbering of all their values over a range partitioning instead, so no task holds a whole key; a table of fewer bytes
+    than that has no such key and isn't counted. ``exact_median=False``
     takes a sketch for all keys, in one pass.
     """
     named = {f"v{i}": c for i, c in enumerate(columns)}  # a column may be called key
@@ -40,7 +46,8 @@ def numeric_features(df: DataFrame, key: str, columns: list[str], exact_median:
     rows = rows.withColumns({v: F.coalesce(F.col(v), means.select(v).scalar()) for v in named})
     fns = {"mean": F.avg, "median": lambda v: _median(F.col(v), exact_median), "max": F.max, "min": F.min}
     aggs = {f"{c}_{a}": (fns[a], v) for v, c in named.items() for a in AGGREGATES}
-    hot = HotGroups(df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key")), ["key"], HOT_ROWS) if exact_median else None
+    counted = exact_median and _size(df) >= HOT_ROWS
+    hot = HotGroups(df.where(F.col(key).isNotNull()).select(stored_key(F.col(key)).alias("key")), ["key"], HOT_ROWS) if counted else None
     if hot is None or hot.empty:
         return rows.groupBy("key").agg(*[f(v).alias(n) for n, (f, v) in aggs.items()])
     cold = hot.cold(rows).groupBy("key").agg(*[f(v).alias(n) for n, (f, v) in aggs.items()])

@@ -112,8 +112,9 @@ def joined_gram(query: DataFrame, key: str, base: list[str], target: str | None,
     by = [label] if label else []
     per_key = query_sketch(query, key, own, by)
     joined = per_key.join(wide.withColumnRenamed("key", "__key"), F.col(key).cast("string") == F.col("__key"), "left")
-    fills = wide.agg(*[F.avg(f"`{c}`").alias(c) for c in candidates]) if candidates else None
-    joined = joined.withColumns({c: F.coalesce(F.col(f"`{c}`"), fills.select(f"`{c}`").scalar(), F.lit(0.0)) for c in candidates})
+    # One row, in one job; as many subqueries would each read the table again.
+    fills = wide.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(candidates)]).first() if candidates else None
+    joined = joined.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(fills[f"m{i}"]), F.lit(0.0)) for i, c in enumerate(candidates)})
     # Per key the mean of x stands for x in the products with z, which are exact, as z is the same in all rows of a key.
     means = {f"m_{c}": F.col(f"sum_{c}") / F.col("n") for c in own}
     blocks = blocked_gram(joined.withColumns(means), [*means, *candidates], "n", label)

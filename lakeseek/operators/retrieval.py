@@ -193,8 +193,8 @@ def pad_missing(features: DataFrame, query: DataFrame, key: str = "key") -> Data
         return matched
     names = [f"f{i}" for i in range(len(known))]
     wide = pivot_features(matched, known, names)
-    means = wide.agg(*[F.avg(n).alias(n) for n in names])
-    full = asked.join(wide, "key", "left").withColumns({n: F.coalesce(n, means.select(n).scalar()) for n in names})
+    means = wide.agg(*[F.avg(n).alias(n) for n in names]).first()
+    full = asked.join(wide, "key", "left").withColumns({n: F.coalesce(n, F.lit(means[n])) for n in names})
     cells = [F.struct(F.lit(t).alias("table_index"), F.lit(k).alias("key_col_index"), F.lit(f).alias("feature"), F.col(n).alias("value")) for (t, k, f), n in zip(known, names, strict=True)]
     return full.select("key", F.explode(F.array(*cells)).alias("c")).select("c.table_index", "c.key_col_index", "c.feature", "key", "c.value")
 
