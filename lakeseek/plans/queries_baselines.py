@@ -271,10 +271,11 @@ def rank_correlation_augment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def profile_search(spark: SparkSession, d: str) -> DataFrame:
-    """Which columns of the lines help to tell their prices, the lines being split into a query table and a lake table."""
-    lines = read(spark, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    query_ = lines.select(F.col("key").alias("id"), "key", F.col("l_extendedprice").alias("y"))
-    got = augmenters.profile_search(query_, "key", "y", {"lines": (lines.select("key", "l_quantity", "l_discount", "l_tax"), "key")}, "id", queries=3, trees=5)
+    """Which facts about the documents help to tell the length that their source reports."""
+    docs = read(spark, d, "documents")
+    facts = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("length"), F.coalesce("table_index", F.lit(-1)).alias("table_index"), F.hour("fetched_at").alias("hour"))
+    query_ = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("key"), F.coalesce(F.col("n_chars"), F.lit(0)).cast("double").alias("y"))
+    got = augmenters.profile_search(query_, "key", "y", {"facts": (facts, "doc_id")}, "id", queries=3, trees=5)
     return spark.createDataFrame(got.plan, "feature string, gain double")
 
 
