@@ -274,14 +274,19 @@ def update_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return rounded(index.read("features").select("key", "feature", "value"))
 
 
-@query("""select table_index, key_col_index, key, col_name, sum(count_)::bigint as count_, min(min_) as min_, max(max_) as max_, list_sort(flatten(list(values_)), 'ASC', 'NULLS FIRST') as values_
+@query("""select table_index, key_col_index, key, col_name, sum(count_)::bigint as count_, case when not isnan(min(min_)) then min(min_) end as min_, case when not isnan(max(max_)) then max(max_) end as max_,
+           list_transform(list_sort(flatten(list(values_)), 'ASC', 'NULLS FIRST'), lambda x: case when not isnan(x) then x end) as values_
     from (select distinct * from num_state) group by table_index, key_col_index, key, col_name""")
 def lake_state_merge(spark: SparkSession, d: str) -> DataFrame:
     """Days of the lake's numeric state, written twice or not, merged whole per table, key column, key and column.
 
-    ``sum_`` is merged but not shown: with sentinels of 1e18 among its parts it depends on the order of addition.
+    ``sum_`` is merged but not shown: with sentinels of 1e18 among its parts it depends on the order of addition. NaN is
+    shown as null, as it equals nothing in a comparison.
     """
-    return state.merge_numeric([read(spark, d, "num_state").distinct()], ["table_index", "key_col_index", "key", "col_name"]).drop("sum_")
+    merged = state.merge_numeric([read(spark, d, "num_state").distinct()], ["table_index", "key_col_index", "key", "col_name"])
+    known = lambda v: F.when(~F.isnan(v), v)
+    shown = merged.withColumns({"min_": known(F.col("min_")), "max_": known(F.col("max_")), "values_": F.transform("values_", known)})
+    return shown.drop("sum_")
 
 
 # -- sampling ---------------------------------------------------------------------------------------------------------
